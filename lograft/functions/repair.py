@@ -32,8 +32,8 @@ def sanitize_newlines(text: Column) -> Column:
     )
     # A line end right after a backslash is an escaped character and stays as it is.
     escaped = lambda t: F.regexp_replace(
-        F.regexp_replace(t, r'(?s)\G((?:[^\\\n]|\\.)*+)\n', "$1\\\\\\\\n"),
-        r'(?s)\G((?:[^\\\r]|\\.)*+)\r', "$1\\\\\\\\r",
+        F.regexp_replace(t, r'(?s)\G((?:[^\\\n]|\\.)*+)\n', "$1\\\\n"),
+        r'(?s)\G((?:[^\\\r]|\\.)*+)\r', "$1\\\\r",
     )
     rewritten = F.array_join(
         F.transform(tokens, lambda t: F.when(F.startswith(t, F.lit('"')), escaped(t)).otherwise(t)),
