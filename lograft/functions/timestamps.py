@@ -54,7 +54,7 @@ def ts_from_epoch(number: Column) -> Column:
             number < MILLIS_BELOW,
             F.when(_in_calendar(millis_second), F.timestamp_millis(number)),
         )
-        .otherwise(F.timestamp_micros(((number - number % 1000) / 1000).cast("bigint")))
+        .otherwise(F.timestamp_micros(F.call_function("div", number, F.lit(1000))))
     )
 
 
@@ -74,7 +74,7 @@ def _cut(number: Column) -> Column:
 def ts_from_float(number: Column) -> Column:
     """Instant of an epoch number with a fraction: seconds below 1e12, else milliseconds."""
     seconds, nanos = _cut(number), _float_nanos(number)
-    micros = seconds * 1_000_000 + F.floor(nanos / 1000)
+    micros = seconds * 1_000_000 + F.floor(nanos / 1000).cast("bigint")
     millis = _cut(number)
     return F.when(
         number < SECONDS_BELOW,
@@ -107,18 +107,21 @@ def display_zone(timezone: str) -> str:
 
 def spark_pattern(strftime: str) -> str:
     """The Spark datetime pattern of a strftime format."""
-    parts = re.split(r"(%(?::z|[.]?[36]f|.))", strftime)
-    pattern = []
-    for part in parts:
-        if part.startswith("%"):
-            if part not in STRFTIME_PATTERNS:
-                raise OptionError(f"unsupported directive {part!r} in {strftime!r}")
-            part = STRFTIME_PATTERNS[part]
-            pattern.append("'%'" if part == "%" else part)
-        elif part:
-            quoted = part.replace("'", "''")
-            pattern.append(f"'{quoted}'")
-    return "".join(pattern)
+    pattern, literal = [], ""
+    for part in re.split(r"(%(?::z|[.]?[36]f|.))", strftime):
+        if part.startswith("%") and part not in STRFTIME_PATTERNS:
+            raise OptionError(f"unsupported directive {part!r} in {strftime!r}")
+        if not part.startswith("%") or part == "%%":
+            literal += "%" if part == "%%" else part
+            continue
+        # Neighbouring literals share one pair of quotes: a doubled quote would mean itself.
+        pattern += [_quoted(literal), STRFTIME_PATTERNS[part]]
+        literal = ""
+    return "".join([*pattern, _quoted(literal)])
+
+
+def _quoted(literal: str) -> str:
+    return "'" + literal.replace("'", "''") + "'" if literal else ""
 
 
 def format_timestamp(ts: Column, strftime: str, timezone: str = "UTC") -> Column:

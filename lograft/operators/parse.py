@@ -15,7 +15,7 @@ _TEXT_ROLES = ROLES[2:]
 # Columns of the log table behind those the caller brings along.
 LOG_COLUMNS = (
     "kind", "prefix", "ts", "ts_nanos", "level", "level_num", "message", "logger", "caller",
-    "error", "extra", "extra_text", "raw_json", "parse_error",
+    "error", "extra", "extra_text", "raw_json", "parse_error", "ts_text",
 )
 
 # Working columns, all dropped at the end.
@@ -137,6 +137,9 @@ def parse_logs(
     (as shown) each cost work only where they are used.
     """
     options = options or LogOptions()
+    clash = sorted(set(lines.columns) & set(LOG_COLUMNS))
+    if clash:
+        raise ValueError(f"columns named like those of the log table: {', '.join(clash)}")
     own = _own(lines)
     read = classified(lines, column, options)
     members, record, consumed = F.col(_MEMBERS), F.col("raw_json"), F.col(_CONSUMED)

@@ -265,7 +265,8 @@ _with_error = partial(recipes.logrus_lines, error=r'"error":"first\r\nsecond\nth
 def text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = LogOptions(single_line=True, line_gap=1)
     folder = _new_folder(spark, "entries")
-    entries = format_lines(recipes.pino_lines(spark, sf_dir), options=options)
+    lines = recipes.pino_lines(spark, sf_dir).select("event_id", "line")
+    entries = format_lines(lines, options=options)
     write_logs(entries, folder, options, order=("event_id",))
     return (
         spark.read.text(folder)
@@ -277,7 +278,8 @@ def text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = LogOptions(json_output=True, min_level="warn", line_gap=0)
-    entries = format_lines(recipes.mixed_lines(spark, sf_dir), options=options)
+    lines = recipes.mixed_lines(spark, sf_dir).select("event_id", "line")
+    entries = format_lines(lines, options=options)
     return text_entries(entries, options)
 
 

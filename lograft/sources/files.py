@@ -89,13 +89,12 @@ def drop_invalid(lines: DataFrame) -> DataFrame:
 
 
 def stream_log_files(spark: SparkSession, folder: str, **options: str) -> DataFrame:
-    """A stream of ``(source, line_no, line)`` over the files that appear in a folder."""
+    """A stream of ``(source, line)`` over the files that appear in a folder."""
     prepare_session(spark)
     reader = spark.readStream.option("lineSep", "\n")
     for name, value in options.items():
         reader = reader.option(name, value)
     return reader.text(folder).select(
         F.col("_metadata.file_path").alias("source"),
-        F.monotonically_increasing_id().alias("line_no"),
         decoded_line(F.col("value")).alias("line"),
     )

@@ -57,12 +57,12 @@ def for_each_reassembled(
 ) -> StreamingQuery:
     """Reassemble a stream of files and hand each micro-batch's lines to ``sink``.
 
-    A file is never split over micro-batches, so batch reassembly is exact. ``line_no`` of
-    :func:`~lograft.sources.files.stream_log_files` orders the lines of a file and is made
-    consecutive here.
+    ``lines`` come straight from :func:`~lograft.sources.files.stream_log_files`. A file is
+    never split over micro-batches, so its lines can be numbered and joined as in a batch.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        numbered = number_lines(batch.withColumnRenamed("line_no", "_at"), "source", "_at")
+        placed = batch.withColumn("_at", F.monotonically_increasing_id())
+        numbered = number_lines(placed, "source", "_at")
         sink(reassemble_lines(numbered.drop("_at"), options), batch_id)
 
     writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
