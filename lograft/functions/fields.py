@@ -20,7 +20,12 @@ def let(value: Column, body) -> Column:
 
 def present_names(members: Column, names: list[str]) -> Column:
     """Those of ``names`` that are keys, whatever their values, in the order of ``names``."""
-    return F.array_intersect(F.array(*[F.lit(name) for name in names]), F.map_keys(members))
+    return F.array_intersect(_constant(names), F.map_keys(members))
+
+
+def _constant(names: list[str]) -> Column:
+    """An array of constant texts; one expression to build, folded when planned."""
+    return F.split(F.lit("\x1f".join(names)), "\x1f")
 
 
 def matched_key(members: Column, names: tuple[str, ...]) -> Column:
@@ -49,7 +54,7 @@ def role_keys(present: Column, options: LogOptions) -> dict[str, Column]:
 
 def _free(names: list[str], rivals: list[Column], name: Column) -> Column:
     """Whether ``name`` is wanted and not taken by a rival."""
-    wanted = name.isin(names)
+    wanted = F.array_contains(_constant(names), name)
     for rival in rivals:
         wanted = wanted & ~name.eqNullSafe(rival)
     return wanted

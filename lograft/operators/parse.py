@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,67 +43,109 @@ def _level_number(key: Column, options: LogOptions) -> Column:
     )
 
 
-def classified(lines: DataFrame, column: str, options: LogOptions) -> DataFrame:
-    """The lines with the members of their record, the keys of its roles and what they use up.
+_BUILT: dict[tuple, SimpleNamespace] = {}
 
-    Each select keeps the column it adds from being computed again by the next. The last step
-    hands the columns on through a one-element generator: a filter on anything computed from
-    them would otherwise be pushed below the projections, with a second copy of the parse.
-    """
-    prepare_session(lines.sparkSession)
-    own = _own(lines)
-    text = classify.trimmed(F.col(f"`{column}`"))
-    cut = lines.select(
-        *own, classify.json_part(text).alias(_PART), classify.text_before_json(text).alias(_BEFORE)
-    )
-    part, before = F.col(_PART), F.col(_BEFORE)
-    read = cut.select(*own, part, before, classify.read_fields(part).alias(_FIRST))
-    first = read.select(
-        *own, part, before, classify.checked_fields(part, F.col(_FIRST)).alias(_FIRST_OK)
+
+def _columns(column: str, options: LogOptions) -> SimpleNamespace:
+    """The expressions of the parse. They name columns only, and building them takes longer than
+    planning with them, so they are kept for further tables read with the same keys."""
+    wanted = (
+        id(SparkContext._gateway), column,
+        tuple(options.keys_of(role) for role in ROLES), tuple(options.level_aliases.items()),
     )
+    if wanted not in _BUILT:
+        _BUILT[wanted] = _build(column, options)
+    return _BUILT[wanted]
+
+
+def _build(column: str, options: LogOptions) -> SimpleNamespace:
+    text = classify.trimmed(F.col(f"`{column}`"))
+    part, before, members, record = (F.col(c) for c in (_PART, _BEFORE, _MEMBERS, _RECORD))
     doubled = F.col(_FIRST_OK).isNull() & F.contains(part, F.lit("\\\\"))
-    fixed = first.select("*", F.when(doubled, repair.un_double_escape(part)).alias(_FIXED))
-    second = fixed.select("*", classify.read_fields(F.col(_FIXED)).alias(_SECOND))
     repaired = F.when(
         F.col(_FIXED).isNotNull(), classify.checked_fields(F.col(_FIXED), F.col(_SECOND))
     )
-    record = F.when(F.col(_FIRST_OK).isNotNull(), part).otherwise(F.col(_FIXED))
-    read_out = second.select(
-        *own, part, before, F.coalesce(F.col(_FIRST_OK), repaired).alias(_MEMBERS),
-        record.alias(_RECORD),
-    )
-    members = F.col(_MEMBERS)
-    present = read_out.select(
-        "*", fields.present_names(members, fields.all_names(options)).alias(_PRESENT)
-    )
+    chosen = F.when(F.col(_FIRST_OK).isNotNull(), part).otherwise(F.col(_FIXED))
     keys = fields.role_keys(F.col(_PRESENT), options)
-    keyed = present.select(
-        "*", F.struct(*[key.alias(role) for role, key in keys.items()]).alias(_KEYS)
-    )
-    used_up = keyed.select(
-        "*",
-        fields.consumed_keys([F.col(_KEYS)[role] for role in keys]).alias(_CONSUMED),
-        _level_number(F.col(_KEYS)["level"], options).alias("_level"),
-    )
+    key_of = {role: F.col(_KEYS)[role] for role in keys}
     passed_on = [F.col(name) for name in (_MEMBERS, _RECORD, _KEYS, _CONSUMED, "_level")]
-    settled = used_up.select(*own, part, before, F.inline(F.array(F.struct(*passed_on))))
     is_record = members.isNotNull()
     kind = (
         F.when(is_record & before.isNull(), F.lit("json"))
         .when(is_record, F.lit("embedded"))
         .otherwise(F.lit("raw"))
     )
-    return settled.select(
-        *own,
-        kind.alias("kind"),
-        F.when(is_record, before).alias("prefix"),
-        F.when(is_record, F.col(_RECORD)).alias("raw_json"),
-        classify.parse_problem(kind, part).alias("parse_error"),
-        part,
-        members,
-        F.col(_KEYS),
-        F.col(_CONSUMED),
-        F.col("_level").alias("level_num"),
+    raw_json, consumed, instant = F.col("raw_json"), F.col(_CONSUMED), F.col("_instant")
+    texts = F.transform(
+        F.array(*[key_of[role] for role in _TEXT_ROLES]),
+        lambda key: fields.let(
+            F.try_element_at(members, key), lambda value: values.value_text(value, raw_json, key)
+        ),
+    )
+    has_json = raw_json.isNotNull()
+    return SimpleNamespace(
+        cut=[classify.json_part(text).alias(_PART), classify.text_before_json(text).alias(_BEFORE)],
+        first=classify.read_fields(part).alias(_FIRST),
+        first_ok=classify.checked_fields(part, F.col(_FIRST)).alias(_FIRST_OK),
+        fixed=F.when(doubled, repair.un_double_escape(part)).alias(_FIXED),
+        second=classify.read_fields(F.col(_FIXED)).alias(_SECOND),
+        members=F.coalesce(F.col(_FIRST_OK), repaired).alias(_MEMBERS),
+        record=chosen.alias(_RECORD),
+        present=fields.present_names(members, fields.all_names(options)).alias(_PRESENT),
+        keys=F.struct(*[key.alias(role) for role, key in keys.items()]).alias(_KEYS),
+        consumed=fields.consumed_keys(list(key_of.values())).alias(_CONSUMED),
+        level=_level_number(key_of["level"], options).alias("_level"),
+        settled=F.inline(F.array(F.struct(*passed_on))),
+        line=[
+            kind.alias("kind"),
+            F.when(is_record, before).alias("prefix"),
+            F.when(is_record, record).alias("raw_json"),
+            classify.parse_problem(kind, part).alias("parse_error"),
+        ],
+        found=[
+            _instant(key_of["timestamp"]).alias("_instant"),
+            F.try_element_at(members, key_of["timestamp"]).alias("ts_text"),
+            texts.alias("_texts"),
+        ],
+        table=[
+            F.col("kind"),
+            F.col("prefix"),
+            instant["ts"].alias("ts"),
+            F.when(instant["ts"].isNotNull(), instant["nanos"]).alias("ts_nanos"),
+            levels.level_name(F.col("level_num")).alias("level"),
+            F.col("level_num"),
+            *[F.col("_texts")[place].alias(role) for place, role in enumerate(_TEXT_ROLES)],
+            F.when(has_json, fields.extra_variants(raw_json, consumed)).alias("extra"),
+            F.when(has_json, fields.extra_texts(members, raw_json, consumed)).alias("extra_text"),
+            raw_json,
+            F.col("parse_error"),
+            F.col("ts_text"),
+        ],
+    )
+
+
+def classified(lines: DataFrame, column: str, options: LogOptions) -> DataFrame:
+    """The lines with the members of their record, the keys of its roles and what they use up.
+
+    Each select keeps the column it adds from being computed again by the next. The last step
+    hands the columns on through a one-element generator: a filter on anything computed from
+    them would otherwise be pushed below the projections, with a second copy of the parse.
+    """
+    prepare_session(lines.sparkSession)
+    made = _columns(column, options)
+    own = _own(lines)
+    return (
+        lines.select(*own, *made.cut)
+        .select("*", made.first)
+        .select(*own, _PART, _BEFORE, made.first_ok)
+        .select("*", made.fixed)
+        .select("*", made.second)
+        .select(*own, _PART, _BEFORE, made.members, made.record)
+        .select("*", made.present)
+        .select("*", made.keys)
+        .select("*", made.consumed, made.level)
+        .select(*own, _PART, _BEFORE, made.settled)
+        .select(*own, *made.line, _PART, _MEMBERS, _KEYS, _CONSUMED, F.col("_level").alias("level_num"))
     )
 
 
@@ -140,37 +185,11 @@ def parse_logs(
     clash = sorted(set(lines.columns) & set(LOG_COLUMNS))
     if clash:
         raise ValueError(f"columns named like those of the log table: {', '.join(clash)}")
-    own = _own(lines)
-    read = classified(lines, column, options)
-    members, record, consumed = F.col(_MEMBERS), F.col("raw_json"), F.col(_CONSUMED)
-    key_of = {role: F.col(_KEYS)[role] for role in ROLES}
-    texts = F.transform(
-        F.array(*[key_of[role] for role in _TEXT_ROLES]),
-        lambda key: fields.let(
-            F.try_element_at(members, key), lambda text: values.value_text(text, record, key)
-        ),
-    )
-    found = read.select(
-        "*",
-        _instant(key_of["timestamp"]).alias("_instant"),
-        F.try_element_at(members, key_of["timestamp"]).alias("ts_text"),
-        texts.alias("_texts"),
-    )
-    is_record = record.isNotNull()
-    return found.select(
-        *own,
-        "kind",
-        "prefix",
-        F.col("_instant.ts").alias("ts"),
-        F.when(F.col("_instant.ts").isNotNull(), F.col("_instant.nanos")).alias("ts_nanos"),
-        levels.level_name(F.col("level_num")).alias("level"),
-        "level_num",
-        *[F.col("_texts")[place].alias(role) for place, role in enumerate(_TEXT_ROLES)],
-        F.when(is_record, fields.extra_variants(record, consumed)).alias("extra"),
-        F.when(is_record, fields.extra_texts(members, record, consumed)).alias("extra_text"),
-        "raw_json",
-        "parse_error",
-        "ts_text",
+    made = _columns(column, options)
+    return (
+        classified(lines, column, options)
+        .select("*", *made.found)
+        .select(*_own(lines), *made.table)
     )
 
 
