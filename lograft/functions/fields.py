@@ -8,7 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lograft.functions.classify import END_KEY, FIELDS_TYPE
-from lograft.functions.values import compact_json, number_text, typed_text, variant_members
+from lograft.functions.values import (
+    compact_json,
+    may_differ,
+    number_text,
+    typed_text,
+    variant_members,
+)
 from lograft.options import LogOptions
 from lograft.tables import ROLES
 
@@ -150,7 +156,8 @@ def extra_texts(members: Column, record: Column, consumed: Column) -> Column:
 
     def shown(left: Column) -> Column:
         suspect = F.exists(
-            F.map_values(left), lambda v: F.coalesce(v.rlike(_SUSPECT), F.lit(False))
+            F.map_values(left),
+            lambda v: F.when(may_differ(v), v.rlike(_SUSPECT)).otherwise(F.lit(False)),
         )
         flat = F.transform_values(left, lambda k, v: F.coalesce(v, F.lit("null")))
         by_text = _opened(

@@ -32,7 +32,9 @@ def _in_calendar(seconds: Column) -> Column:
 
 
 def ts_from_string(text: Column) -> Column:
-    zoned = F.when(text.rlike(_WITH_OFFSET), F.translate(text, "tz", "TZ")).when(
+    small = F.contains(text, F.lit("t")) | F.contains(text, F.lit("z"))
+    upper = F.when(small, F.translate(text, "tz", "TZ")).otherwise(text)
+    zoned = F.when(text.rlike(_WITH_OFFSET), upper).when(
         text.rlike(_WITHOUT_OFFSET), F.concat(text, F.lit("Z"))
     )
     return zoned.try_cast("timestamp")
@@ -40,7 +42,8 @@ def ts_from_string(text: Column) -> Column:
 
 def nanos_from_string(text: Column) -> Column:
     rest = F.regexp_extract(text, r"[.][0-9]{6}([0-9]{1,3})", 1)
-    return F.rpad(rest, 3, "0").try_cast("smallint")
+    # Only a text longer than one with microseconds can have them.
+    return F.when(F.octet_length(text) > 26, F.rpad(rest, 3, "0").try_cast("smallint"))
 
 
 def ts_from_epoch(number: Column) -> Column:

@@ -16,6 +16,11 @@ _EXPONENT = r"^(-?)([0-9]+)[.]([0-9]+)E(-?[0-9]+)$"
 _NUMBER = r"^-?[0-9]+(?:[.][0-9]+)?(?:E-?[0-9]+)?$"
 
 
+def may_differ(text: Column) -> Column:
+    """Whether a text begins like a nested value or a number: others are shown as they are."""
+    return F.ascii(text).isin([ord(c) for c in "-0123456789[{"])
+
+
 def variant_members(record: Column) -> Column:
     """Members of the record's JSON with their types."""
     return F.try_parse_json(record).cast("map<string,variant>")

@@ -25,8 +25,8 @@ LOG_COLUMNS = (
 _PART, _BEFORE, _FIRST, _FIRST_OK, _FIXED, _SECOND = (
     "_part", "_before", "_first", "_first_ok", "_fixed", "_second",
 )
-_MEMBERS, _RECORD, _PRESENT, _KEYS, _CONSUMED = (
-    "_members", "_record", "_present", "_keys", "_consumed",
+_MEMBERS, _RECORD, _PRESENT, _KEYS, _CONSUMED, _LEVEL_TEXT, _TS_TEXT = (
+    "_members", "_record", "_present", "_keys", "_consumed", "_level_text", "_ts_text",
 )
 
 
@@ -35,8 +35,7 @@ def _own(lines: DataFrame) -> list[Column]:
 
 
 def _level_number(key: Column, options: LogOptions) -> Column:
-    record = F.col(_RECORD)
-    text = F.try_element_at(F.col(_MEMBERS), key)
+    record, text = F.col(_RECORD), F.col(_LEVEL_TEXT)
     number = values.is_number(text, record, key)
     return F.when(number, levels.level_from_number(text.cast("double"))).otherwise(
         levels.level_from_name(text, options.level_aliases)
@@ -67,8 +66,11 @@ def _build(column: str, options: LogOptions) -> SimpleNamespace:
     )
     chosen = F.when(F.col(_FIRST_OK).isNotNull(), part).otherwise(F.col(_FIXED))
     keys = fields.role_keys(F.col(_PRESENT), options)
+    # One column per key: a struct would be taken apart again, its parts repeated where used.
+    found_key = {role: F.col(f"_{role}_key") for role in keys}
     key_of = {role: F.col(_KEYS)[role] for role in keys}
-    passed_on = [F.col(name) for name in (_MEMBERS, _RECORD, _KEYS, _CONSUMED, "_level")]
+    passed_on = [F.col(c) for c in (_MEMBERS, _RECORD, _CONSUMED, _TS_TEXT, "_level")]
+    passed_on.append(F.struct(*[k.alias(role) for role, k in found_key.items()]).alias(_KEYS))
     is_record = members.isNotNull()
     kind = (
         F.when(is_record & before.isNull(), F.lit("json"))
@@ -76,12 +78,17 @@ def _build(column: str, options: LogOptions) -> SimpleNamespace:
         .otherwise(F.lit("raw"))
     )
     raw_json, consumed, instant = F.col("raw_json"), F.col(_CONSUMED), F.col("_instant")
-    texts = F.transform(
-        F.array(*[key_of[role] for role in _TEXT_ROLES]),
-        lambda key: fields.let(
-            F.try_element_at(members, key), lambda value: values.value_text(value, raw_json, key)
+    as_read = [F.col("_read")[place] for place in range(len(_TEXT_ROLES))]
+    differing = F.lit(False)
+    for text_read in as_read:
+        differing = differing | F.coalesce(values.may_differ(text_read), F.lit(False))
+    texts = F.when(
+        differing,
+        F.transform(
+            F.array(*[key_of[role] for role in _TEXT_ROLES]),
+            lambda key, at: values.value_text(F.col("_read")[at], raw_json, key),
         ),
-    )
+    ).otherwise(F.col("_read"))
     has_json = raw_json.isNotNull()
     return SimpleNamespace(
         cut=[classify.json_part(text).alias(_PART), classify.text_before_json(text).alias(_BEFORE)],
@@ -92,9 +99,13 @@ def _build(column: str, options: LogOptions) -> SimpleNamespace:
         members=F.coalesce(F.col(_FIRST_OK), repaired).alias(_MEMBERS),
         record=chosen.alias(_RECORD),
         present=fields.present_names(members, fields.all_names(options)).alias(_PRESENT),
-        keys=F.struct(*[key.alias(role) for role, key in keys.items()]).alias(_KEYS),
-        consumed=fields.consumed_keys(list(key_of.values())).alias(_CONSUMED),
-        level=_level_number(key_of["level"], options).alias("_level"),
+        keys=[key.alias(f"_{role}_key") for role, key in keys.items()],
+        consumed=fields.consumed_keys(list(found_key.values())).alias(_CONSUMED),
+        typed_texts=[
+            F.try_element_at(members, found_key["timestamp"]).alias(_TS_TEXT),
+            F.try_element_at(members, found_key["level"]).alias(_LEVEL_TEXT),
+        ],
+        level=_level_number(found_key["level"], options).alias("_level"),
         settled=F.inline(F.array(F.struct(*passed_on))),
         line=[
             kind.alias("kind"),
@@ -102,9 +113,12 @@ def _build(column: str, options: LogOptions) -> SimpleNamespace:
             F.when(is_record, record).alias("raw_json"),
             classify.parse_problem(kind, part).alias("parse_error"),
         ],
+        read=F.array(
+            *[F.try_element_at(members, key_of[role]) for role in _TEXT_ROLES]
+        ).alias("_read"),
         found=[
             _instant(key_of["timestamp"]).alias("_instant"),
-            F.try_element_at(members, key_of["timestamp"]).alias("ts_text"),
+            F.col(_TS_TEXT).alias("ts_text"),
             texts.alias("_texts"),
         ],
         table=[
@@ -142,16 +156,19 @@ def classified(lines: DataFrame, column: str, options: LogOptions) -> DataFrame:
         .select("*", made.second)
         .select(*own, _PART, _BEFORE, made.members, made.record)
         .select("*", made.present)
-        .select("*", made.keys)
+        .select("*", *made.keys)
+        .select("*", *made.typed_texts)
         .select("*", made.consumed, made.level)
         .select(*own, _PART, _BEFORE, made.settled)
-        .select(*own, *made.line, _PART, _MEMBERS, _KEYS, _CONSUMED, F.col("_level").alias("level_num"))
+        .select(
+            *own, *made.line, _PART, _MEMBERS, _KEYS, _CONSUMED, _TS_TEXT,
+            F.col("_level").alias("level_num"),
+        )
     )
 
 
 def _instant(key: Column) -> Column:
-    members, record = F.col(_MEMBERS), F.col("raw_json")
-    text = F.try_element_at(members, key)
+    record, text = F.col("raw_json"), F.col(_TS_TEXT)
     whole = F.when(~text.rlike("[.E]"), text.try_cast("bigint"))
     fraction = text.try_cast("double")
     from_number = F.when(
@@ -188,6 +205,7 @@ def parse_logs(
     made = _columns(column, options)
     return (
         classified(lines, column, options)
+        .select("*", made.read)
         .select("*", *made.found)
         .select(*_own(lines), *made.table)
     )
