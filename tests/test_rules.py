@@ -64,12 +64,12 @@ def test_custom_keys_replace_the_aliases(spark):
 def test_flatten_and_text(spark):
     line = (
         '{"a":{"b":1,"n":null,"deep":{"z":1,"y":2}},"a.b":"won","e":{},"arr":[1.0,{"k":2}],'
-        '"num":1.0,"big":1768473000.123,"s":"1.5E7","nul":null,"t":true}'
+        '"num":1.0,"big":1768473000.123,"s":"1.5E7","nul":null,"flag":true}'
     )
     (row,) = parsed(spark, [line])
     assert row.extra_text == {
         "a.b": "won", "a.n": "null", "a.deep": '{"y":2,"z":1}', "num": "1.0", "s": "1.5E7",
-        "big": "1768473000.123", "nul": "null", "t": "true", "arr": row.extra_text["arr"],
+        "big": "1768473000.123", "nul": "null", "flag": "true", "arr": row.extra_text["arr"],
     }
     assert set(row.extra) == set(row.extra_text)
 
