@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
+from pyspark import cloudpickle
+
 _SPACE = " \t\n\r"
 _STRING_CHARS = re.compile(r'["\\\n\r]')
 _DOUBLED = re.compile(r'\\(\\["nrtbfu/\\]|.)', re.S)
@@ -26,9 +29,6 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
-_DECODER = json.JSONDecoder(parse_constant=_refuse, parse_int=len, parse_float=len)
-
-
 class Sanitizer:
     """Escapes raw line ends inside JSON strings, piece by piece."""
 
@@ -65,7 +65,8 @@ class Sanitizer:
 def is_object(text: str) -> bool:
     """Whether the whole text is one JSON object."""
     try:
-        value, end = _DECODER.raw_decode(text)
+        decoder = json.JSONDecoder(parse_constant=_refuse, parse_int=len, parse_float=len)
+        value, end = decoder.raw_decode(text)
     except (ValueError, RecursionError):
         return False
     if text[end:].strip(_SPACE) or not isinstance(value, dict):
@@ -171,3 +172,10 @@ def walk(
         for entry in walks:
             left[entry] = position
     return left
+
+
+def shipped(*names: str) -> None:
+    """Send the functions of these modules to the tasks as they are, so that executors need no
+    installed copy of the package."""
+    for name in (__name__, *names):
+        cloudpickle.register_pickle_by_value(sys.modules[name])

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from lograft.functions import classify, reassembly
+from lograft.functions import classify
+from lograft.functions.reassembly import Line, shipped, walk
 from lograft.operators.parse import _PART, classified
 from lograft.options import LogOptions
 from lograft.session import prepare_session
@@ -33,6 +34,8 @@ from lograft.sources.shared import kept
 
 BLOCK_LINES = 16384
 
+shipped(__name__)
+
 # A row that tells a block where to begin sorts before the block's lines.
 _ENTRY_ROW = -1
 
@@ -80,7 +83,7 @@ def _blocks(batches: Iterator[pd.DataFrame]):
     return groupby(_rows(batches), key=itemgetter(0, 1))
 
 
-def _dense(rows: Iterator[tuple]) -> Iterator[reassembly.Line]:
+def _dense(rows: Iterator[tuple]) -> Iterator[Line]:
     """The lines of a block. Lines left out are far from any starter and stand as idle."""
     expected = None
     for _, _, number, line, starter, _ in rows:
@@ -107,7 +110,7 @@ def _exits_of_blocks(block_lines: int, limit: int):
         for (source, block), rows in _blocks(batches):
             first = block * block_lines
             entries = range(first, first + limit + 1)
-            left = reassembly.walk(
+            left = walk(
                 _from(first, _dense(rows)), limit, entries, stop_at=first + block_lines
             )
             exits = [max(left[e] - first - block_lines, 0) for e in entries]
@@ -116,7 +119,7 @@ def _exits_of_blocks(block_lines: int, limit: int):
     return run
 
 
-def _from(first: int, lines: Iterator[reassembly.Line]) -> Iterator[reassembly.Line]:
+def _from(first: int, lines: Iterator[Line]) -> Iterator[Line]:
     """The lines with idle ones before the first, so that every entry is met."""
     head = next(lines, None)
     if head is None:
@@ -180,7 +183,7 @@ def _walked_blocks(block_lines: int, limit: int):
                     out.extend((source, n, text, 1) for n, text, _ in used if text is not None)
 
             steps = _from(first, _dense(rows))
-            reassembly.walk(steps, limit, [first + skip], visit, stop_at=first + block_lines)
+            walk(steps, limit, [first + skip], visit, stop_at=first + block_lines)
             if len(out) >= 4096:
                 yield pd.DataFrame(out, columns=_JOINED.names)
                 out = []

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lograft.functions import reassembly
+from lograft.functions.reassembly import may_start, shipped, walk
 from lograft.operators.filters import filter_logs
 from lograft.operators.multiline import number_lines, reassemble_lines
 from lograft.operators.parse import parse_logs
@@ -20,6 +20,9 @@ from lograft.sinks.writers import text_entries
 from lograft.sources.files import drop_invalid
 
 
+shipped(__name__)
+
+
 def live_entries(lines: DataFrame, options: LogOptions | None = None) -> DataFrame:
     """Parse, filter and render a stream line by line: stateless, append mode."""
     options = options or LogOptions()
@@ -121,7 +124,7 @@ def reassemble_stream(
 
 def _settled(pending: list, limit: int, final: bool) -> tuple[list, list]:
     """Entries that no later line can change, and the lines of the buffer that is still open."""
-    flagged = [(at, text, reassembly.may_start(text)) for at, (_, text) in enumerate(pending)]
+    flagged = [(at, text, may_start(text)) for at, (_, text) in enumerate(pending)]
     out: list[tuple] = []
     still_open: list[int] = []
 
@@ -136,7 +139,7 @@ def _settled(pending: list, limit: int, final: bool) -> tuple[list, list]:
         else:
             out.extend((pending[n][0], text, 1) for n, text, _ in used if text is not None)
 
-    reassembly.walk(flagged, limit, [0], visit)
+    walk(flagged, limit, [0], visit)
     return out, pending[still_open[0] :] if still_open else []
 
 
