@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="lograft-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, a new local one is set."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, as in tests, a local one."""
     name = "spark.checkpoint.dir"
     folder = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lograft-")
-        spark.conf.set(name, folder)
-    return folder.rstrip("/")
+    return (folder or _own_folder()).rstrip("/")
 
 
 def kept(table: DataFrame) -> DataFrame:
