@@ -1,4 +1,4 @@
-"""Small intermediate tables in the folder all executors share."""
+"""Intermediate tables in the folder all executors share."""
 
 from __future__ import annotations
 
@@ -15,15 +15,31 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset, as in tests, a local one."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session uses a temporary folder; a cluster has no folder that all
+    its executors see, so there this is an error.
+    """
     name = "spark.checkpoint.dir"
     folder = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
-    return (folder or _own_folder()).rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(f"set {name} to a folder that all executors share")
+    return _own_folder()
+
+
+def new_path(spark: SparkSession, purpose: str = "kept") -> str:
+    """A path nobody uses yet, in the shared folder; its files go when the application ends."""
+    path = f"{shared_folder(spark)}/lograft-{purpose}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def kept(table: DataFrame) -> DataFrame:
     """``table`` written to the shared folder and read back, with its size known to Spark."""
     spark = table.sparkSession
-    path = f"{shared_folder(spark)}/lograft-{uuid.uuid4().hex}"
+    path = new_path(spark)
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
