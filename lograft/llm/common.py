@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,8 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def doc_groups(docs: DataFrame, groups: int) -> DataFrame:
-    """(grp, ord, rid, doc_id, text): documents dealt evenly over ``groups`` groups.
+def doc_groups(docs: DataFrame, groups: int, carry: Sequence[str] = ()) -> DataFrame:
+    """(grp, ord, rid, doc_id, text, *carry): documents dealt evenly over ``groups`` groups.
 
     Equal texts have different identifiers and so fall into different groups. ``ord`` orders
     documents (a null identifier comes last), ``rid`` settles ties.
@@ -64,6 +65,7 @@ def doc_groups(docs: DataFrame, groups: int) -> DataFrame:
         rid.alias("rid"),
         "doc_id",
         "text",
+        *carry,
     )
 
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lograft.llm.common import table
 from lograft.llm.packing import pack_documents
 from lograft.llm.sharding import shard_documents
+from lograft.llm.substring import substring_dedup
+from lograft.llm.suffix import repeated_bytes
 from lograft.llm.token_counts import count_tokens
 from lograft.llm.tokens import TokenizerFile
 
@@ -19,6 +20,14 @@ def word_bpe() -> TokenizerFile:
     return TokenizerFile(public_tokenizers.path("word_bpe_49k.json"), white_free=True)
 
 
+def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents"), length=50)
+
+
+def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), window=13)
+
+
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -32,6 +41,8 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": suffix_array,
+    "op6_substring_dedup": substrings,
     "op7_best_fit_packing": packing,
     "op9_token_counts": token_counts,
     "op10_sharding": sharding,
