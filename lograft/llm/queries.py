@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lograft.llm.common import table
+from lograft.llm.jaccard import similar_classes
 from lograft.llm.packing import pack_documents
 from lograft.llm.sharding import shard_documents
 from lograft.llm.substring import substring_dedup
@@ -36,6 +37,10 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_classes(table(spark, sf_dir, "documents"), k=5)
+
+
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffix_array,
     "op6_substring_dedup": substrings,
     "op7_best_fit_packing": packing,
+    "op8_ngram_jaccard_join": jaccard_join,
     "op9_token_counts": token_counts,
     "op10_sharding": sharding,
 }
