@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lograft.llm import quality
 from lograft.llm.common import table
 from lograft.llm.jaccard import similar_classes
 from lograft.llm.packing import pack_documents
@@ -25,6 +26,10 @@ def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"), length=50)
 
 
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(table(spark, sf_dir, "documents"))
+
+
 def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=13)
 
@@ -47,6 +52,7 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffix_array,
+    "op3_quality_rules": quality_rules,
     "op6_substring_dedup": substrings,
     "op7_best_fit_packing": packing,
     "op8_ngram_jaccard_join": jaccard_join,
@@ -54,4 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality.SQL,
+}
