@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lograft.llm import quality
+from lograft.llm import quality, topk
 from lograft.llm.common import table
 from lograft.llm.jaccard import similar_classes
 from lograft.llm.packing import pack_documents
@@ -26,6 +26,11 @@ def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents"), length=50)
 
 
+def top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffix_array,
+    "op2_top_k_search": top_k_search,
     "op3_quality_rules": quality_rules,
     "op6_substring_dedup": substrings,
     "op7_best_fit_packing": packing,
@@ -61,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_top_k_search": topk.SQL,
     "op3_quality_rules": quality.SQL,
 }
