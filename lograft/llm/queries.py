@@ -16,6 +16,7 @@ from lograft.llm.substring import substring_dedup
 from lograft.llm.suffix import repeated_bytes
 from lograft.llm.token_counts import count_tokens
 from lograft.llm.tokens import TokenizerFile
+from lograft.llm.toxicity import score_documents
 
 
 def word_bpe() -> TokenizerFile:
@@ -35,6 +36,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=13)
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffix_array,
     "op2_top_k_search": top_k_search,
     "op3_quality_rules": quality_rules,
+    "op5_toxicity": toxicity,
     "op6_substring_dedup": substrings,
     "op7_best_fit_packing": packing,
     "op8_ngram_jaccard_join": jaccard_join,
