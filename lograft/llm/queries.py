@@ -11,6 +11,7 @@ from lograft.llm import quality, topk
 from lograft.llm.common import table
 from lograft.llm.jaccard import similar_classes
 from lograft.llm.packing import pack_documents
+from lograft.llm.pieces import round_trips
 from lograft.llm.sharding import shard_documents
 from lograft.llm.substring import substring_dedup
 from lograft.llm.suffix import repeated_bytes
@@ -36,6 +37,12 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffix_array,
     "op2_top_k_search": top_k_search,
     "op3_quality_rules": quality_rules,
+    "op4_sentencepiece": sentence_pieces,
     "op5_toxicity": toxicity,
     "op6_substring_dedup": substrings,
     "op7_best_fit_packing": packing,
