@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lograft.llm import quality, topk
+from lograft.llm import oracles, quality, topk
 from lograft.llm.common import table
 from lograft.llm.jaccard import similar_classes
 from lograft.llm.packing import pack_documents
@@ -81,6 +81,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_array_dedup": oracles.SUFFIX_ARRAY,
     "op2_top_k_search": topk.SQL,
     "op3_quality_rules": quality.SQL,
+    "op6_substring_dedup": oracles.SUBSTRINGS,
+    "op8_ngram_jaccard_join": oracles.JACCARD,
+    "op10_sharding": oracles.SHARDING,
 }
