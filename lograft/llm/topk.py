@@ -17,6 +17,8 @@ BLOCK = 1024
 #: Segments of the levels of resolution, coarse to fine; each divides the one after it.
 LEVELS = (1, 4, 16)
 
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
+
 OUT = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -56,16 +58,16 @@ def tile_top(
     the query's k-th best score so far.
     """
     largest = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    exact = np.float64 if largest < 2**53 else object  # beyond doubles: whole numbers of any size
+    # Doubles hold products to 2**53, longs to 2**63; beyond, Python's whole numbers do, cut after.
+    kind = np.float64 if largest < 2**53 else np.int64
+    nothing = kind(-np.inf) if kind is np.float64 else LOW
     norms = np.sqrt((x**2).sum(1))
     order = np.lexsort((vid, -norms))
     vid, x, norms = vid[order], x[order], norms[order]
     qf = [features(q, n) for n in LEVELS]
     xf = [features(x, n) for n in LEVELS]
     slack = 1e-9 * np.sqrt((q**2).sum(1)) * float(norms.max(initial=0)) + 1e-6
-    scores = np.full((len(q), k), -np.inf if exact is np.float64 else None, exact)
-    if exact is object:
-        scores[:] = -(1 << 200)
+    scores = np.full((len(q), k), nothing, kind)
     ids = np.full((len(q), k), np.iinfo(np.int64).max, np.int64)
     for a in range(0, len(x), BLOCK):
         rows, cols = np.arange(len(q)), np.arange(a, min(a + BLOCK, len(x)))
@@ -76,33 +78,33 @@ def tile_top(
                 rows, cols = rows[can.any(1)], cols[can.any(0)]
         if len(rows) == 0 or len(cols) == 0:
             continue
-        if exact is np.float64:
-            new = q[rows] @ x[cols].T
+        if largest >= 2**62:
+            left, right = ([[int(v) for v in r] for r in m.tolist()] for m in (q[rows], x[cols]))
+            whole = np.array(left, object).dot(np.array(right, object).T)
+            new = np.clip(whole, LOW, HIGH).astype(np.int64)
         else:
-            whole = [m.astype(object) for m in (q[rows], x[cols])]
-            whole = [np.vectorize(int, otypes=[object])(m) if m.size else m for m in whole]
-            new = whole[0].dot(whole[1].T)
+            new = q[rows].astype(kind) @ x[cols].T.astype(kind)
         new_ids = np.broadcast_to(vid[cols], new.shape).copy()
         own = new_ids == qid[rows][:, None]
-        new = np.where(own, scores.dtype.type(-np.inf) if exact is np.float64 else -(1 << 200), new)
+        new[own] = nothing
         new_ids[own] = np.iinfo(np.int64).max
         both = np.concatenate([scores[rows], new], 1)
         both_ids = np.concatenate([ids[rows], new_ids], 1)
-        if exact is np.float64 and both.shape[1] > 4 * k:
+        if both.shape[1] > 4 * k:
             # Only what reaches the k-th best score can stay; ties included.
             kth = np.partition(both, both.shape[1] - k, axis=1)[:, -k]
             width = int((both >= kth[:, None]).sum(1).max())
-            near = np.argpartition(-both, min(width, both.shape[1] - 1), axis=1)[:, : width]
+            near = np.argpartition(both, both.shape[1] - width, axis=1)[:, -width:]
             both = np.take_along_axis(both, near, 1)
             both_ids = np.take_along_axis(both_ids, near, 1)
-        best = np.lexsort((both_ids, -both), axis=1)[:, :k]
+        # The negative of the smallest long is itself, so the order is turned bit by bit.
+        turned = ~both if kind is np.int64 else -both
+        best = np.lexsort((both_ids, turned), axis=1)[:, :k]
         scores[rows] = np.take_along_axis(both, best, 1)
         ids[rows] = np.take_along_axis(both_ids, best, 1)
     found = ids != np.iinfo(np.int64).max
     row = np.nonzero(found)[0]
-    low, high = -(1 << 63), (1 << 63) - 1
-    values = [min(max(int(v), low), high) for v in scores[found].tolist()]
-    return qid[row], ids[found], np.array(values, np.int64)
+    return qid[row], ids[found], scores[found].astype(np.int64)
 
 
 def _matrix(column) -> np.ndarray:
