@@ -37,6 +37,16 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def dealing(spark: SparkSession) -> tuple[int, int]:
+    """Groups of documents, and buckets of what groups tell each other.
+
+    Two groups per shuffle partition even out their sizes. What a group tells is a fraction of its
+    text, so fewer buckets will do, and groups times buckets, the rows of such an exchange, stay few.
+    """
+    n = partitions(spark)
+    return 2 * n, n
+
+
 def free_name(frame: DataFrame, base: str) -> str:
     """A column name that ``frame`` does not have yet, whatever the case of its letters."""
     taken = {c.lower() for c in frame.columns}

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from lograft.llm.common import (
     LAST,
+    dealing,
     doc_groups,
     gram_hashes,
     id_and_text,
     mixed,
-    partitions,
     raw_texts,
     ship,
     word_hashes,
@@ -140,7 +140,7 @@ def similar_sets(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame, Dat
     """
     spark = docs.sparkSession
     ship(spark)
-    buckets = groups = 3 * partitions(spark)
+    groups, buckets = dealing(spark)
     mine = doc_groups(docs, groups).groupBy("grp")
     sets = kept(mine.applyInArrow(lambda g: _sets(g, k), SET_SCHEMA))
     nodes = kept(

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lograft.llm.common import (
+    dealing,
     doc_groups,
     gram_hashes,
     id_and_text,
-    partitions,
     raw_texts,
     ship,
     sliding_min,
@@ -91,7 +91,7 @@ def find_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) ->
         raise ValueError(f"a window needs more than {SEED_WORDS} words")
     spark = docs.sparkSession
     ship(spark)
-    buckets = groups = 3 * partitions(spark)
+    groups, buckets = dealing(spark)
     grouped = doc_groups(docs, groups)
 
     def seeds(group: pa.Table) -> pa.Table:

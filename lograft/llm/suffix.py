@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lograft.llm.common import doc_groups, mixed, partitions, raw_texts, ship, sliding_min
+from lograft.llm.common import dealing, doc_groups, mixed, raw_texts, ship, sliding_min
 from lograft.llm.seeds import (
     SEED_SCHEMA,
     by_bucket,
@@ -147,7 +147,7 @@ def repeated_bytes(
         raise ValueError(f"length must be at least {2 * SEED_BYTES}")
     spark = docs.sparkSession
     ship(spark)
-    buckets = groups = 3 * partitions(spark)
+    groups, buckets = dealing(spark)
     renamed = {name: f"c{i}" for i, name in enumerate(carry)}
     read = docs.select(
         docs[id_col].cast("long").alias("doc_id"),
