@@ -1,5 +1,6 @@
 """Structured log lines as a typed table, on Spark."""
 
+from lograft.operators.chain import format_files
 from lograft.operators.filters import drop_empty, filter_logs, records_only
 from lograft.operators.multiline import number_lines, reassemble_lines
 from lograft.operators.parse import classify_lines, parse_logs, with_matched_alias
@@ -17,6 +18,7 @@ __all__ = [
     "drop_empty",
     "drop_invalid",
     "filter_logs",
+    "format_files",
     "format_lines",
     "number_lines",
     "parse_logs",

@@ -32,6 +32,12 @@ _PAIRED = r"\\\\|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
 _SURROGATE = r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}"
 
 
+# A number that may be beyond a double, and the strings and numbers of a record. A quoted token is
+# never a number to the cast.
+_MAYBE_VAST = r"[0-9][eE][+]?0*[0-9]{3}|[0-9]{309}"
+_VALUES = r'"[^"\\]*(?:\\.[^"\\]*)*"|-?[0-9][-+.0-9eE]*'
+
+
 def trimmed(line: Column) -> Column:
     """The line without Unicode white space at its ends."""
     whole = F.startswith(line, F.lit("{")) & F.endswith(line, F.lit("}"))
@@ -82,9 +88,18 @@ def checked_fields(part: Column, members: Column) -> Column:
     empty = part.rlike(r"^\{[ \t\n\r]*\}$")
     escapes = F.contains(part, F.lit("\\ud")) | F.contains(part, F.lit("\\uD"))
     lone = F.regexp_replace(part, _PAIRED, "").rlike(_SURROGATE)
+    vast = F.when(
+        part.rlike(_MAYBE_VAST),
+        F.exists(
+            F.regexp_extract_all(part, F.lit(_VALUES), F.lit(0)),
+            lambda token: F.coalesce(
+                F.abs(token.try_cast("double")) == float("inf"), F.lit(False)
+            ),
+        ),
+    ).otherwise(F.lit(False))
     unpaired = F.when(escapes, lone).otherwise(F.lit(False))
     return (
-        F.when(proven & ~unpaired, F.when(repeated, last_wins).otherwise(members))
+        F.when(proven & ~unpaired & ~vast, F.when(repeated, last_wins).otherwise(members))
         .when(empty, F.from_json(F.lit("{}"), FIELDS_TYPE))
     )
 

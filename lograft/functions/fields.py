@@ -30,8 +30,8 @@ def present_names(members: Column, names: list[str]) -> Column:
 
 
 def _constant(names: list[str]) -> Column:
-    """An array of constant texts; one expression to build, folded when planned."""
-    return F.split(F.lit("\x1f".join(names)), "\x1f")
+    """An array of constant texts, folded when planned."""
+    return F.array(*map(F.lit, names))
 
 
 def matched_key(members: Column, names: tuple[str, ...]) -> Column:
@@ -108,9 +108,9 @@ def _as_members(value: Column) -> Column:
     return value.try_cast("map<string,variant>")
 
 
-def extra_variants(record: Column, consumed: Column) -> Column:
+def extra_variants(record: Column, members: Column, consumed: Column) -> Column:
     """Leftover members with their types, objects opened one level under dotted names."""
-    left = F.map_filter(variant_members(record), lambda k, v: ~F.array_contains(consumed, k))
+    left = F.map_filter(variant_members(record, members), lambda k, v: ~F.array_contains(consumed, k))
     return let(
         left,
         lambda m: _opened(
@@ -167,7 +167,7 @@ def extra_texts(members: Column, record: Column, consumed: Column) -> Column:
             _leaf_text,
         )
         by_type = _opened(
-            _by_name(paired(left, unconsumed(variant_members(record)))),
+            _by_name(paired(left, unconsumed(variant_members(record, members)))),
             lambda v: _is_object(v["typed"]),
             lambda v: F.map_entries(
                 paired(F.map_from_entries(nested_texts(v["text"])), _as_members(v["typed"]))

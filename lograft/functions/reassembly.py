@@ -15,7 +15,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 from pyspark import cloudpickle
 
+from lograft.tables import WHITE_SPACE
+
 _SPACE = " \t\n\r"
+# As deep as the column gate reads.
+MAX_DEPTH = 127
 _STRING_CHARS = re.compile(r'["\\\n\r]')
 _DOUBLED = re.compile(r'\\(\\["nrtbfu/\\]|.)', re.S)
 _STRINGS = re.compile(r'"(?:[^"\\]|\\(?:\\["nrtbfu/\\]|.))*"', re.S)
@@ -29,6 +33,26 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
+def _within(number: str) -> int:
+    """Refuse a number beyond a double, as the column gate does."""
+    if len(number) > 300 or "e" in number or "E" in number:
+        if float(number) in (float("inf"), float("-inf")):
+            raise ValueError(number)
+    return 0
+
+
+def _depth(value) -> int:
+    """Levels of nesting, without recursion."""
+    deepest, open_ = 0, [(value, 1)]
+    while open_:
+        inner, level = open_.pop()
+        if isinstance(inner, (dict, list)):
+            deepest = max(deepest, level)
+            inner = inner.values() if isinstance(inner, dict) else inner
+            open_.extend((v, level + 1) for v in inner)
+    return deepest
+
+
 class Sanitizer:
     """Escapes raw line ends inside JSON strings, piece by piece."""
 
@@ -65,18 +89,18 @@ class Sanitizer:
 def is_object(text: str) -> bool:
     """Whether the whole text is one JSON object."""
     try:
-        decoder = json.JSONDecoder(parse_constant=_refuse, parse_int=len, parse_float=len)
+        decoder = json.JSONDecoder(parse_constant=_refuse, parse_int=_within, parse_float=_within)
         value, end = decoder.raw_decode(text)
     except (ValueError, RecursionError):
         return False
-    if text[end:].strip(_SPACE) or not isinstance(value, dict):
+    if _depth(value) > MAX_DEPTH or text[end:].strip(_SPACE) or not isinstance(value, dict):
         return False
     return "\\u" not in text or not _SURROGATE.search(_PAIRS.sub("", text))
 
 
 def holds_record(text: str) -> bool:
     """Whether a line is a record, maybe behind a prefix, maybe over-escaped."""
-    text = text.strip()
+    text = text.strip(WHITE_SPACE)
     at = text.find("{")
     if at < 0 or not text.endswith("}"):
         return False
@@ -92,9 +116,9 @@ def may_start(line: str | None) -> bool:
     """Whether a line is no record but may begin one."""
     if line is None:
         return False
-    text = line.strip()
+    text = line.strip(WHITE_SPACE)
     at = text.find("{")
-    return at >= 0 and text[at + 1 :].lstrip().startswith('"') and not holds_record(line)
+    return at >= 0 and text[at + 1 :].lstrip(WHITE_SPACE).startswith('"') and not holds_record(line)
 
 
 Line = tuple[int, str | None, bool]
@@ -110,13 +134,13 @@ def join_from(lines: deque[Line], limit: int) -> tuple[int, str | None]:
     pieces = [sanitizer.feed(lines[0][1])]
     used = 1
     # The text is looked at only where it could be complete: where it ends in a brace.
-    complete = pieces[0].rstrip().endswith("}")
+    complete = pieces[0].rstrip(WHITE_SPACE).endswith("}")
     for _, line, _ in _head(lines, 1, limit):
         used += 1
         if line is None:
             continue
         pieces.append(sanitizer.feed("\n" + line))
-        stripped = pieces[-1].rstrip()
+        stripped = pieces[-1].rstrip(WHITE_SPACE)
         complete = stripped.endswith("}") if stripped else complete
         if complete:
             text = "".join(pieces)

@@ -111,7 +111,9 @@ def error_text(error: Column, options: LogOptions) -> Column:
 def record_text(options: LogOptions) -> Column:
     """Text of one record, over the columns of the log table."""
     ansi = options.ansi
-    stamp = format_timestamp(F.col("ts"), options.timestamp_format, options.timezone)
+    stamp = format_timestamp(
+        F.col("ts"), options.timestamp_format, options.timezone, F.col("ts_nanos")
+    )
 
     def part(before: str, text: Column, style: str | None, after: str = "") -> Column:
         text = styled(text, style, ansi and style is not None)
@@ -132,7 +134,7 @@ def record_text(options: LogOptions) -> Column:
 
 def raw_text(options: LogOptions) -> Column:
     """A raw line unchanged, with what was wrong with it underneath when asked for."""
-    line = F.col("line")
+    line = F.col("raw_text")
     if not options.verbose:
         return line
     problem = F.col("parse_error")

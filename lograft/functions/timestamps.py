@@ -5,11 +5,12 @@ An instant is a microsecond TIMESTAMP plus the 0-999 nanoseconds that do not fit
 
 from __future__ import annotations
 
+import os
 import re
-import time
 from datetime import datetime
+from zoneinfo import ZoneInfo, available_timezones
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from lograft.options import OptionError
@@ -100,39 +101,111 @@ def display_zone(timezone: str) -> str:
         return "UTC"
     if timezone.lower() != "local":
         return timezone
-    here = datetime.now().astimezone()
-    named = getattr(here.tzinfo, "key", None)
-    if named:
+    named = os.environ.get("TZ", "").lstrip(":")
+    if named and named in available_timezones():
         return named
-    offset = -(time.altzone if time.localtime().tm_isdst else time.timezone) // 60
-    return f"{'-' if offset < 0 else '+'}{abs(offset) // 60:02d}:{abs(offset) % 60:02d}"
+    session = SparkSession.getActiveSession()
+    return session._jvm.java.util.TimeZone.getDefault().getID() if session else "UTC"
 
 
-def spark_pattern(strftime: str) -> str:
-    """The Spark datetime pattern of a strftime format."""
+# Directives that no datetime pattern has; their text is made from the instant itself.
+_OWN = {"%z", "%:z", "%Z", "%N", "%9f", "%.9f", "%e", "%s", "%P", "%k", "%l"}
+_PARTS = r"(%(?::z|[.]?[369]f|.))"
+
+
+def _pieces(strftime: str) -> list[tuple[bool, str]]:
+    """The format as (own directive?, Spark datetime pattern or directive), in order."""
+    pieces: list[tuple[bool, str]] = []
     pattern, literal = [], ""
-    for part in re.split(r"(%(?::z|[.]?[36]f|.))", strftime):
-        if part.startswith("%") and part not in STRFTIME_PATTERNS:
-            raise OptionError(f"unsupported directive {part!r} in {strftime!r}")
-        if not part.startswith("%") or part == "%%":
-            literal += "%" if part == "%%" else part
-            continue
-        # Neighbouring literals share one pair of quotes: a doubled quote would mean itself.
-        pattern += [_quoted(literal), STRFTIME_PATTERNS[part]]
-        literal = ""
-    return "".join([*pattern, _quoted(literal)])
 
+    def flush() -> None:
+        nonlocal literal
+        if literal:
+            # Neighbouring literals share one pair of quotes: a doubled quote would mean itself.
+            pattern.append("'" + literal.replace("'", "''") + "'")
+        if pattern:
+            pieces.append((False, "".join(pattern)))
+            pattern.clear()
+        literal = ""
 
-def _quoted(literal: str) -> str:
-    return "'" + literal.replace("'", "''") + "'" if literal else ""
+    for part in re.split(_PARTS, strftime):
+        if part in _OWN:
+            flush()
+            pieces.append((True, part))
+        elif part.startswith("%") and part not in STRFTIME_PATTERNS:
+            raise OptionError(f"unsupported directive {part!r} in {strftime!r}")
+        elif not part.startswith("%") or part == "%%":
+            literal += "%" if part == "%%" else part
+        else:
+            if literal:
+                pattern.append("'" + literal.replace("'", "''") + "'")
+                literal = ""
+            pattern.append(STRFTIME_PATTERNS[part])
+    flush()
+    return pieces
 
 
-def format_timestamp(ts: Column, strftime: str, timezone: str = "UTC") -> Column:
-    """Text of the instant in a zone. Needs the session zone UTC, as ``prepare_session`` sets."""
+def spark_pattern(strftime: str) -> str:
+    """The Spark datetime pattern of a strftime format without directives of its own."""
+    pieces = _pieces(strftime)
+    if any(own for own, _ in pieces):
+        raise OptionError(f"{strftime!r} has no single pattern")
+    return "".join(text for _, text in pieces)
+
+
+def _offset_text(seconds: Column, colon: str) -> Column:
+    minutes = F.abs(seconds) / 60
+    sign = F.when(seconds < 0, F.lit("-")).otherwise(F.lit("+"))
+    hour = F.lpad(F.floor(minutes / 60).cast("string"), 2, "0")
+    minute = F.lpad((F.floor(minutes) % 60).cast("string"), 2, "0")
+    return F.concat(sign, hour, F.lit(colon), minute)
+
+
+def _zone_name(seconds: Column, zone: str) -> Column:
+    """The zone's abbreviation at an offset; of several in its history the latest."""
+    if zone == "UTC":
+        return F.lit("UTC")
+    try:
+        rules = ZoneInfo(zone)
+    except (KeyError, ValueError, OSError):
+        return _offset_text(seconds, ":")
+    names: dict[int, str] = {}
+    for year in range(1900, 2038):
+        for month in range(1, 13):
+            at = datetime(year, month, 1, tzinfo=rules)
+            names[int(at.utcoffset().total_seconds())] = at.tzname()
+    chain = F
+    for offset, name in names.items():
+        chain = chain.when(seconds == offset, F.lit(name))
+    return chain.otherwise(_offset_text(seconds, ":"))
+
+
+def format_timestamp(
+    ts: Column, strftime: str, timezone: str = "UTC", nanos: Column | None = None
+) -> Column:
+    """Text of the instant in a zone. Needs the session zone UTC, as ``prepare_session`` sets.
+
+    ``nanos`` are the 0-999 nanoseconds behind the instant's microseconds.
+    """
     zone = display_zone(timezone)
-    pattern = spark_pattern(strftime)
-    if zone != "UTC":
-        if re.search(r"%:?[zZ]", strftime):
-            raise OptionError("%z and %Z are supported for UTC only")
-        ts = F.from_utc_timestamp(ts, zone)
-    return F.date_format(ts, pattern)
+    local = ts if zone == "UTC" else F.from_utc_timestamp(ts, zone)
+    offset = (F.unix_micros(local) - F.unix_micros(ts)) / 1_000_000
+    behind = F.lpad(F.coalesce(nanos, F.lit(0)).cast("string"), 3, "0") if nanos is not None else (
+        F.lit("000")
+    )
+    hour12 = F.regexp_replace(F.date_format(local, "hh"), "^0", " ")
+    own = {
+        "%z": lambda: _offset_text(offset, ""),
+        "%:z": lambda: _offset_text(offset, ":"),
+        "%Z": lambda: _zone_name(offset, zone),
+        "%N": lambda: F.concat(F.date_format(local, "SSSSSS"), behind),
+        "%9f": lambda: F.concat(F.date_format(local, "SSSSSS"), behind),
+        "%.9f": lambda: F.concat(F.lit("."), F.date_format(local, "SSSSSS"), behind),
+        "%e": lambda: F.lpad(F.dayofmonth(local).cast("string"), 2, " "),
+        "%s": lambda: F.floor(F.unix_micros(ts) / 1_000_000).cast("bigint").cast("string"),
+        "%P": lambda: F.lower(F.date_format(local, "a")),
+        "%k": lambda: F.lpad(F.hour(local).cast("string"), 2, " "),
+        "%l": lambda: hour12,
+    }
+    parts = [own[t]() if mine else F.date_format(local, t) for mine, t in _pieces(strftime)]
+    return parts[0] if len(parts) == 1 else F.concat(*parts) if parts else F.lit("")

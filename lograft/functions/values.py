@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lograft.functions.classify import STRICT_JSON
+
 # Text that may be a nested value, or a number printed in another form than it is shown.
 _UNSETTLED = r"^(?:[{\[]|-?[0-9]+[.][0-9]+E-?[0-9]+$|-?[0-9]{19,}$)"
 _EXPONENT = r"^(-?)([0-9]+)[.]([0-9]+)E(-?[0-9]+)$"
@@ -21,9 +23,29 @@ def may_differ(text: Column) -> Column:
     return F.ascii(text).isin([ord(c) for c in "-0123456789[{"])
 
 
-def variant_members(record: Column) -> Column:
-    """Members of the record's JSON with their types."""
-    return F.try_parse_json(record).cast("map<string,variant>")
+# From this size on the quick parse refuses strings; a VARIANT itself holds 128 MiB at most.
+_LONG = 16_000_000
+_VARIANT_LIMIT = 128 * 1024 * 1024 - 1024
+
+
+def variant_members(record: Column, members: Column) -> Column:
+    """Members of the record's JSON with their types, ``members`` being their texts.
+
+    Long records are read with the gate's own options. Where even then a member is too large for a
+    VARIANT, types follow from the texts: all members stay, and only such a member's value is null.
+    """
+    as_read = F.from_json(record, "map<string,variant>", STRICT_JSON)
+    by_text = F.transform_values(members, lambda k, text: _text_variant(text, record))
+    return F.when(
+        F.octet_length(record) < _LONG, F.try_parse_json(record).cast("map<string,variant>")
+    ).otherwise(F.coalesce(as_read, by_text))
+
+
+def _text_variant(text: Column, record: Column) -> Column:
+    as_string = F.when(F.octet_length(text) < _VARIANT_LIMIT, text).cast("variant")
+    bare = F.coalesce(text, F.lit("null"))
+    return F.when(_settled(bare, record) & (F.octet_length(bare) < _LONG),
+                  F.coalesce(F.try_parse_json(bare), as_string)).otherwise(as_string)
 
 
 def number_text(text: Column) -> Column:
@@ -45,9 +67,42 @@ def number_text(text: Column) -> Column:
     )
 
 
+# Strings, numbers, and what stands between them.
+_TOKENS = r'"[^"\\]*(?:\\.[^"\\]*)*"|-?[0-9][-+.0-9eE]*|[^"0-9-]+|-'
+# Numbers a typed value does not keep as they are shown.
+_SHOWN_OTHERWISE = r"[0-9][.][0-9]|[0-9][eE]|-0|[0-9]{19}"
+
+
+def shown_numbers(text: Column, wrap: bool) -> Column:
+    """JSON text with its numbers as they are shown; ``wrap`` makes marked strings of them."""
+
+    def token(t: Column) -> Column:
+        number = number_text(t)
+        shown = F.concat(F.lit('"\\u001f'), number, F.lit('"')) if wrap else number
+        return F.when(F.ascii(t).isin([ord(c) for c in "-0123456789"]), shown).otherwise(t)
+
+    tokens = F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
+    return F.array_join(F.transform(tokens, token), "")
+
+
 def compact_json(text: Column) -> Column:
-    """A nested value with the keys of its objects in order."""
-    return F.when(F.contains(text, F.lit("{")), F.to_json(F.try_parse_json(text))).otherwise(text)
+    """A nested value with the keys of its objects in order and its numbers as they are shown.
+
+    A typed value orders keys, but prints numbers in its own way; where that may differ, they pass
+    through it as strings that no text of a record can hold unescaped.
+    """
+    sorted_keys = F.to_json(F.try_parse_json(text))
+    marked = F.to_json(F.try_parse_json(shown_numbers(text, True)))
+    unmarked = F.regexp_replace(marked, r'"\\u001[fF]([-+.0-9e]+)"', "$1")
+    is_object = F.contains(text, F.lit("{"))
+    return (
+        F.when(
+            text.rlike(_SHOWN_OTHERWISE),
+            F.when(is_object, unmarked).otherwise(shown_numbers(text, False)),
+        )
+        .when(is_object, sorted_keys)
+        .otherwise(text)
+    )
 
 
 def _settled(text: Column, record: Column) -> Column:
@@ -60,9 +115,9 @@ def _settled(text: Column, record: Column) -> Column:
     return ~F.contains(record, F.lit("\\u")) & ~F.contains(record, quoted)
 
 
-def is_number(text: Column, record: Column, key: Column) -> Column:
+def is_number(text: Column, record: Column, members: Column, key: Column) -> Column:
     """Whether the member ``key`` of ``record``, read as ``text``, is a JSON number."""
-    member = F.try_element_at(variant_members(record), key)
+    member = F.try_element_at(variant_members(record, members), key)
     return F.when(
         F.ascii(text).between(ord("-"), ord("9")) & text.rlike(_NUMBER),
         F.when(_settled(text, record), F.lit(True)).otherwise(
@@ -105,11 +160,11 @@ def typed_text(text: Column, value: Column) -> Column:
     )
 
 
-def value_text(text: Column, record: Column, key: Column) -> Column:
+def value_text(text: Column, record: Column, members: Column, key: Column) -> Column:
     """Display text of the member ``key`` of ``record``, whose gate text is ``text``."""
     nested = F.ascii(text).isin(ord("{"), ord("["))
     settled_text = F.when(nested, compact_json(text)).otherwise(number_text(text))
-    member = F.try_element_at(variant_members(record), key)
+    member = F.try_element_at(variant_members(record, members), key)
     return F.when(
         text.rlike(_UNSETTLED),
         F.when(_settled(text, record), settled_text).otherwise(typed_text(text, member)),

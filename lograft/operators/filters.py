@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,19 @@ def at_least(level_num: Column, minimum: int) -> Column:
 
 
 def jvm_pattern(pattern: str) -> str:
-    """The pattern with Unicode classes and ``\\n`` as the only line end."""
+    """The pattern with Unicode classes and ``\\n`` as the only line end.
+
+    ``$`` is the very end, not also the place before a final line end, unless it is multi-line.
+    """
+    if not re.search(r"\(\?[a-zA-Z]*m", pattern):
+        pattern = re.sub(_DOLLAR, lambda m: m[1] or r"\z", pattern)
     return f"(?dU){pattern}"
 
 
+# An escaped character, a class, or a bare dollar.
+_DOLLAR = r"(\\.|\[\^?\]?(?:\\.|\[:\^?[a-z]+:\]|[^\]\\])*\])|\$"
+
+
 def check_pattern(spark: SparkSession, pattern: str) -> None:
     """Raise for a pattern that does not compile. A constant row: no job is run."""
     try:
@@ -42,7 +53,7 @@ def matches(pattern: str) -> Column:
         hit = hit | F.coalesce(part, F.lit(False))
     extras = F.exists(F.map_values(F.col("extra_text")), lambda v: v.rlike(jvm))
     hit = hit | F.coalesce(extras, F.lit(False))
-    return F.when(F.col("kind") == "raw", F.col("line").rlike(jvm)).otherwise(hit)
+    return F.when(F.col("kind") == "raw", F.col("raw_text").rlike(jvm)).otherwise(hit)
 
 
 def filter_logs(logs: DataFrame, options: LogOptions) -> DataFrame:
@@ -65,4 +76,4 @@ def records_only(logs: DataFrame) -> DataFrame:
 def drop_empty(logs: DataFrame) -> DataFrame:
     """Drop entries whose text is empty. A record has at least its badge, so it is empty lines
     that go; saying so spares the filter from rendering every entry."""
-    return logs.filter((F.col("kind") != "raw") | (F.octet_length(F.col("line")) > 0))
+    return logs.filter((F.col("kind") != "raw") | (F.octet_length(F.col("raw_text")) > 0))

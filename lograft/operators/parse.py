@@ -18,7 +18,7 @@ _TEXT_ROLES = ROLES[2:]
 # Columns of the log table behind those the caller brings along.
 LOG_COLUMNS = (
     "kind", "prefix", "ts", "ts_nanos", "level", "level_num", "message", "logger", "caller",
-    "error", "extra", "extra_text", "raw_json", "parse_error", "ts_text",
+    "error", "extra", "extra_text", "raw_json", "parse_error", "ts_text", "raw_text",
 )
 
 # Working columns, all dropped at the end.
@@ -36,23 +36,26 @@ def _own(lines: DataFrame) -> list[Column]:
 
 def _level_number(key: Column, options: LogOptions) -> Column:
     record, text = F.col(_RECORD), F.col(_LEVEL_TEXT)
-    number = values.is_number(text, record, key)
+    number = values.is_number(text, record, F.col(_MEMBERS), key)
     return F.when(number, levels.level_from_number(text.cast("double"))).otherwise(
         levels.level_from_name(text, options.level_aliases)
     )
 
 
 _BUILT: dict[tuple, SimpleNamespace] = {}
+_MOST_BUILT = 32
 
 
 def _columns(column: str, options: LogOptions) -> SimpleNamespace:
     """The expressions of the parse. They name columns only, and building them takes longer than
     planning with them, so they are kept for further tables read with the same keys."""
     wanted = (
-        id(SparkContext._gateway), column,
+        SparkContext._active_spark_context.applicationId, column,
         tuple(options.keys_of(role) for role in ROLES), tuple(options.level_aliases.items()),
     )
     if wanted not in _BUILT:
+        if len(_BUILT) >= _MOST_BUILT or any(w[0] != wanted[0] for w in _BUILT):
+            _BUILT.clear()
         _BUILT[wanted] = _build(column, options)
     return _BUILT[wanted]
 
@@ -86,7 +89,7 @@ def _build(column: str, options: LogOptions) -> SimpleNamespace:
         differing,
         F.transform(
             F.array(*[key_of[role] for role in _TEXT_ROLES]),
-            lambda key, at: values.value_text(F.col("_read")[at], raw_json, key),
+            lambda key, at: values.value_text(F.col("_read")[at], raw_json, members, key),
         ),
     ).otherwise(F.col("_read"))
     has_json = raw_json.isNotNull()
@@ -118,7 +121,7 @@ def _build(column: str, options: LogOptions) -> SimpleNamespace:
         ).alias("_read"),
         found=[
             _instant(key_of["timestamp"]).alias("_instant"),
-            F.col(_TS_TEXT).alias("ts_text"),
+            _instant_text(key_of["timestamp"]).alias("ts_text"),
             texts.alias("_texts"),
         ],
         table=[
@@ -129,11 +132,12 @@ def _build(column: str, options: LogOptions) -> SimpleNamespace:
             levels.level_name(F.col("level_num")).alias("level"),
             F.col("level_num"),
             *[F.col("_texts")[place].alias(role) for place, role in enumerate(_TEXT_ROLES)],
-            F.when(has_json, fields.extra_variants(raw_json, consumed)).alias("extra"),
+            F.when(has_json, fields.extra_variants(raw_json, members, consumed)).alias("extra"),
             F.when(has_json, fields.extra_texts(members, raw_json, consumed)).alias("extra_text"),
             raw_json,
             F.col("parse_error"),
             F.col("ts_text"),
+            F.when(~has_json, F.col(f"`{column}`")).alias("raw_text"),
         ],
     )
 
@@ -187,7 +191,15 @@ def _instant(key: Column) -> Column:
         timestamps.ts_from_string(text).alias("ts"),
         F.coalesce(timestamps.nanos_from_string(text), F.lit(0).cast("smallint")).alias("nanos"),
     )
-    return F.when(values.is_number(text, record, key), from_number).otherwise(from_text)
+    return F.when(values.is_number(text, record, F.col(_MEMBERS), key), from_number).otherwise(from_text)
+
+
+def _instant_text(key: Column) -> Column:
+    """The instant as it was written; a number in its shortest decimal text."""
+    text = F.col(_TS_TEXT)
+    fraction = text.rlike("[.E]|[0-9]{19}")
+    number = values.is_number(text, F.col("raw_json"), F.col(_MEMBERS), key)
+    return F.when(fraction & number, values.number_text(text)).otherwise(text)
 
 
 def parse_logs(

@@ -30,6 +30,4 @@ def format_lines(
 ) -> DataFrame:
     """Parse, filter and render a string column in one go (lines are not reassembled)."""
     options = options or LogOptions()
-    if column != "line":
-        lines = lines.withColumn("line", F.col(f"`{column}`"))
-    return render_logs(filter_logs(parse_logs(lines, "line", options), options), options)
+    return render_logs(filter_logs(parse_logs(lines, column, options), options), options)

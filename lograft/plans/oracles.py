@@ -97,9 +97,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN event_id % 10 = 2 THEN 'invalid JSON' END AS problem FROM events""",
     "resolve_fields": """SELECT event_id, event_type AS message, 'svc' AS logger,
         'a.go:' || user_id AS caller, CAST(NULL AS VARCHAR) AS error,
-        CASE WHEN epoch_us(ts) // 1000000 >= 1000000000
-             THEN substr(CAST(epoch_us(ts) // 1000000 AS VARCHAR), 1, 1) || '.' ||
-                  substr(CAST(epoch_us(ts) // 1000000 AS VARCHAR), 2) || '5E9' END AS ts_text
+        CAST(epoch_us(ts) // 1000000 AS VARCHAR) || '.5' AS ts_text
         FROM events""",
     "custom_keys": f"""SELECT event_id, 'a.go:' || user_id AS message,
         CAST({_CENTS} AS VARCHAR) AS logger, CAST(NULL AS VARCHAR) AS caller,
@@ -113,6 +111,14 @@ ORACLES: dict[str, str] = {
         FROM events""",
     "ts_from_float": f"""SELECT event_id, {_ZAP_US} AS ts_us, CAST(0 AS BIGINT) AS ts_nanos
         FROM events""",
+    "epoch_shapes": f"""SELECT event_id, CASE event_id % 4
+        WHEN 0 THEN epoch_us(ts) // 1000000 * 1000000 WHEN 1 THEN -event_id * 1000000
+        WHEN 2 THEN NULL ELSE ({_MILLIS}) * 1000 END AS ts_us,
+        CASE WHEN event_id % 4 <> 2 THEN CAST(0 AS BIGINT) END AS ts_nanos FROM events""",
+    "level_shapes": """SELECT event_id, CASE num WHEN 10 THEN 'trace' WHEN 20 THEN 'debug'
+        WHEN 30 THEN 'info' WHEN 40 THEN 'warn' WHEN 50 THEN 'error' WHEN 60 THEN 'fatal' END AS level,
+        CAST(num AS BIGINT) AS level_num FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL
+        ELSE least(60, greatest(10, (event_id % 70 + 5) // 10 * 10)) END AS num FROM events)""",
     "level_from_name": f"""SELECT event_id, {_NAME} AS level,
         CAST({_PINO_LEVEL} AS BIGINT) AS level_num FROM events""",
     "level_from_number": f"""SELECT event_id, {_NAME} AS level,
@@ -123,6 +129,14 @@ ORACLES: dict[str, str] = {
         FROM events""",
     "flatten_extra": f"SELECT event_id, {_PINO_FIELDS} AS fields FROM events",
     "extra_text": f"SELECT doc_id, {_documents(0)} AS fields FROM documents",
+    "nested_numbers": """SELECT event_id,
+        '{"a":10000000000.0,"b":1.0,"c":-0.0,"id":' || event_id || ',"s":"1e10"}' AS message,
+        'n.x={"a":[10000000000.0,' || event_id || ',1.5],"big":1e300,"y":' || user_id || '.0}'
+        AS fields FROM events""",
+    "grep_line_end": """SELECT doc_id FROM documents
+        WHERE lang = 'en' AND right(text, 1) = '.'""",
+    "parse_other_column": """SELECT doc_id, 'unrelated' AS line, text AS rendered FROM documents
+        WHERE regexp_matches(text, '[a-z]')""",
     "filter_min_level": f"""SELECT event_id, {_NAME} AS level, event_type AS message FROM events
         WHERE {_PINO_LEVEL} >= 40""",
     "filter_min_level_mixed": f"""SELECT event_id, {_KIND} AS kind,
@@ -170,6 +184,16 @@ ORACLES: dict[str, str] = {
         FROM events""".replace("% %j", "%% %j"),
     "timezone_convert": """SELECT event_id, strftime(timezone('America/New_York',
         timezone('UTC', ts)), '%Y-%m-%d %H:%M') AS shown FROM events""",
+    "format_timestamp_zone": """SELECT event_id, strftime(here, '%Y-%m-%dT%H:%M:%S') || CASE
+        WHEN date_diff('hour', here, there) = 5 THEN '-05:00 EST -0500 ' ELSE '-04:00 EDT -0400 ' END ||
+        lpad(CAST(hour(here) AS VARCHAR), 2, ' ') || '|' ||
+        lpad(CAST((hour(here) + 11) % 12 + 1 AS VARCHAR), 2, ' ') || '|' ||
+        CASE WHEN hour(here) < 12 THEN 'am' ELSE 'pm' END || ' ' ||
+        lpad(CAST(day(here) AS VARCHAR), 2, ' ') AS shown
+        FROM (SELECT event_id, there, timezone('America/New_York', timezone('UTC', there)) AS here
+          FROM (SELECT event_id, ts + to_days(CAST(event_id % 365 AS INTEGER)) AS there FROM events))""",
+    "files_to_text": """SELECT ' INFO: ' || text || ' conv=' || conv_id || ' turn=' || turn
+        AS rendered FROM conversations""",
     "render_ansi": f"""SELECT event_id, chr(27) || '[1m' || {_MS_STAMP.format(us='epoch_us(ts)')} ||
         chr(27) || '[0m  ' || chr(27) || '[' || {_STYLE} || ';1m' || {_BADGE} || chr(27) ||
         '[0m: ' || event_type || ' ' || chr(27) || '[38;2;150;150;150;1mcents' || chr(27) ||

@@ -12,6 +12,7 @@ from lograft.functions import classify, repair
 from lograft.functions.render import level_badge
 from lograft.functions.timestamps import format_timestamp
 from lograft.functions.values import variant_text
+from lograft.operators.chain import format_files
 from lograft.operators.filters import drop_empty, filter_logs, records_only
 from lograft.operators.multiline import number_lines, reassemble_lines
 from lograft.operators.parse import classify_lines, parse_logs, with_matched_alias
@@ -21,7 +22,8 @@ from lograft.options import LogOptions
 from lograft.plans import recipes
 from lograft.sinks.writers import text_entries, write_log_table, write_logs
 from lograft.sources.files import decoded_line, drop_invalid, read_log_files, stream_log_files
-from lograft.sources.shared import shared_folder
+from lograft.session import prepare_session
+from lograft.sources.shared import new_path
 from lograft.streaming.live import live_entries, write_live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,9 +46,7 @@ def number(column: str) -> Column:
 
 
 def _new_folder(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return new_path(spark, name)
 
 
 # Sources
@@ -192,9 +192,31 @@ def extra_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.select("doc_id", joined(F.col("extra_text")))
 
 
+def nested_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers inside objects and arrays that are shown as JSON."""
+    logs = parse_logs(recipes.nested_number_lines(spark, sf_dir).select("event_id", "line"))
+    return logs.select("event_id", "message", joined(F.col("extra_text")))
+
+
 # Filters
 
 
+def line_end_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``$`` is the end of the text, not the place before a last line end."""
+    documents = recipes.table(spark, sf_dir, "documents")
+    text = F.when(F.col("lang") == "en", F.col("text")).otherwise(F.concat("text", F.lit("\n")))
+    lines = documents.select("doc_id", F.to_json(F.struct(text.alias("msg"))).alias("line"))
+    return filter_logs(parse_logs(lines), LogOptions(grep=r"[.]$")).select("doc_id")
+
+
+def other_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in another column than ``line``, next to one of that name."""
+    documents = recipes.table(spark, sf_dir, "documents")
+    lines = documents.select("doc_id", F.lit("unrelated").alias("line"), "text")
+    entries = format_lines(lines, "text", LogOptions(grep="[a-z]"))
+    return entries.select("doc_id", "line", "rendered")
+
+
 def filtered(recipe, options: LogOptions, columns, spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = recipe(spark, sf_dir)
     own = [name for name in ("event_id", "doc_id") if name in lines.columns]
@@ -253,7 +275,28 @@ def badges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stamps(strftime: str, timezone: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = parse_logs(recipes.logrus_lines(spark, sf_dir).select("event_id", "line"))
-    return logs.select("event_id", format_timestamp(F.col("ts"), strftime, timezone).alias("shown"))
+    shown = format_timestamp(F.col("ts"), strftime, timezone, F.col("ts_nanos"))
+    return logs.select("event_id", shown.alias("shown"))
+
+
+def zoned_stamps(strftime: str, timezone: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants spread over a year, so that both halves of a zone's year occur."""
+    events = recipes.table(spark, sf_dir, "events")
+    day = F.pmod("event_id", F.lit(365)) * 86_400_000_000
+    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + day)
+    return events.select("event_id", format_timestamp(at, strftime, timezone).alias("shown"))
+
+
+def files_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken records in files, through the whole chain in one call."""
+    prepare_session(spark)
+    folder = _new_folder(spark, "broken")
+    lines = recipes.conversation_lines(spark, sf_dir)
+    lines.repartition("source").sortWithinPartitions("source", "position").select(
+        "line"
+    ).write.text(folder)
+    options = LogOptions(single_line=True, include_fields=("conv", "turn"))
+    return format_files(spark, folder, options).entries.select("rendered")
 
 
 _with_error = partial(recipes.logrus_lines, error=r'"error":"first\r\nsecond\nthird\n",')
@@ -312,12 +355,15 @@ QUERIES: dict[str, Query] = {
     "ts_from_epoch": partial(instants, recipes.pino_lines),
     "ts_from_nanos": partial(instants, recipes.embedded_lines),
     "ts_from_float": partial(instants, recipes.zap_lines),
+    "epoch_shapes": partial(instants, recipes.epoch_lines),
     "level_from_name": partial(level_of, recipes.logrus_lines),
     "level_from_number": partial(level_of, recipes.pino_lines),
+    "level_shapes": partial(level_of, recipes.level_lines),
     "custom_levels": partial(level_of, recipes.zap_lines, level_aliases={"Verbose": "debug"}),
     "role_text": role_text,
     "flatten_extra": flattened,
     "extra_text": extra_text,
+    "nested_numbers": nested_numbers,
     "filter_min_level": partial(
         filtered, recipes.pino_lines, LogOptions(min_level="warn"), ("level", "message")
     ),
@@ -328,6 +374,8 @@ QUERIES: dict[str, Query] = {
         filtered, recipes.document_lines, LogOptions(grep=r"\bsrc[0-4]\b|^fr$"), ("caller",)
     ),
     "grep_raw": raw_grep,
+    "grep_line_end": line_end_grep,
+    "parse_other_column": other_column,
     "json_records_only": only_records,
     "drop_empty": without_empty,
     "filter_combined": partial(
@@ -350,6 +398,10 @@ QUERIES: dict[str, Query] = {
     "render_error_block": partial(rendered, _with_error, LogOptions(key_min_width=8)),
     "format_timestamp": partial(stamps, "%d.%m.%Y %H:%M:%S%.6f %% %j", "UTC"),
     "timezone_convert": partial(stamps, "%Y-%m-%d %H:%M", "America/New_York"),
+    "format_timestamp_zone": partial(
+        zoned_stamps, "%FT%T%:z %Z %z %k|%l|%P %e", "America/New_York"
+    ),
+    "files_to_text": files_to_text,
     "render_ansi": partial(
         rendered,
         recipes.logrus_lines,

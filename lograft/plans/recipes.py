@@ -113,6 +113,40 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("line", record)
 
 
+def nested_number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in several forms, inside objects and arrays."""
+    return table(spark, sf_dir, "events").withColumn(
+        "line",
+        _concat(
+            '{"msg":{"b":1.0,"id":', F.col("event_id"), ',"a":1e10,"c":-0.0,"s":"1e10"},"n":{"x":{"y":',
+            F.col("user_id"), '.0,"big":1e300,"a":[1e10,', F.col("event_id"), ',1.50]}}}',
+        ),
+    )
+
+
+def epoch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epoch numbers in seconds, before 1970, out of range and in milliseconds."""
+    micros = _micros()
+    number = (
+        F.when(F.pmod("event_id", F.lit(4)) == 0, F.expr("unix_micros(cast(ts as timestamp)) div 1000000"))
+        .when(F.pmod("event_id", F.lit(4)) == 1, -F.col("event_id"))
+        .when(F.pmod("event_id", F.lit(4)) == 2, F.lit(999_999_999_999))
+        .otherwise(F.floor(micros / 1000))
+    )
+    return table(spark, sf_dir, "events").withColumn("line", _concat('{"ts":', number, "}"))
+
+
+def level_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels as whole numbers, fractions, and numbers in quotes, which are no numbers."""
+    number = F.pmod("event_id", F.lit(70)).cast("string")
+    level = (
+        F.when(F.pmod("event_id", F.lit(3)) == 0, F.concat(F.lit('"'), number, F.lit('"')))
+        .when(F.pmod("event_id", F.lit(3)) == 1, F.concat(number, F.lit(".9")))
+        .otherwise(number)
+    )
+    return table(spark, sf_dir, "events").withColumn("line", _concat('{"level":', level, "}"))
+
+
 def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per turn, its text with raw line ends inside the string."""
     return table(spark, sf_dir, "conversations").withColumn(
@@ -130,4 +164,4 @@ def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").cast("string").alias("source"),
         "turn",
         F.posexplode(F.split("line", "\n")).alias("_at", "line"),
-    ).select("source", (F.col("turn") * 100000 + F.col("_at")).alias("position"), "line")
+    ).select("source", (F.shiftleft(F.col("turn"), 32) + F.col("_at")).alias("position"), "line")

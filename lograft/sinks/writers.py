@@ -21,13 +21,14 @@ def write_logs(
     rendered: DataFrame,
     path: str,
     options: LogOptions | None = None,
-    order: tuple[str, ...] = ("source", "line_no"),
+    order: tuple[str, ...] = (),
     mode: str = "errorifexists",
 ) -> None:
     """Rendered entries (or JSON, as rendered in JSON mode) as text files.
 
-    The rows are range-partitioned by ``order``, so the files follow each other in input order;
-    an empty ``order`` writes them as they come, without a shuffle.
+    They are written as they come, without a shuffle: entries read from files and not reassembled
+    are in input order. Columns in ``order``, such as ``("source", "line_no")``, range-partition
+    the rows first, which reads them twice.
     """
     if order:
         rendered = rendered.orderBy(*order)
