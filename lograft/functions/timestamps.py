@@ -32,19 +32,35 @@ def _in_calendar(seconds: Column) -> Column:
     return seconds.between(MIN_EPOCH_SECOND, MAX_EPOCH_SECOND)
 
 
+# Rarer shapes: no dashes and colons, no seconds, a comma before the fraction, a zone in brackets
+# behind the offset.
+_RARE = r"^[0-9]{4}-?[0-9]{2}-?[0-9]{2}[Tt ][0-9]{2}:?[0-9]{2}"
+_BASIC = r"^([0-9]{4})([0-9]{2})([0-9]{2})[Tt ]([0-9]{2})([0-9]{2})"
+_BASIC_SECONDS = r"^(.{16})([0-9]{2})"
+_NO_SECONDS = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2})([Zz+-])"
+
+
+def _usual_shape(text: Column) -> Column:
+    """A text of a rarer shape with dashes, colons, seconds and a point."""
+    bare = F.regexp_replace(text, r"([0-9Zz])\[[^\]]+\]$", "$1")
+    pointed = F.regexp_replace(bare, ",([0-9]+)", ".$1")
+    dashed = F.regexp_replace(pointed, _BASIC, "$1-$2-$3T$4:$5")
+    return F.regexp_replace(F.regexp_replace(dashed, _BASIC_SECONDS, "$1:$2"), _NO_SECONDS, "$1:00$2")
+
+
 def ts_from_string(text: Column) -> Column:
-    small = F.contains(text, F.lit("t")) | F.contains(text, F.lit("z"))
-    upper = F.when(small, F.translate(text, "tz", "TZ")).otherwise(text)
-    zoned = F.when(text.rlike(_WITH_OFFSET), upper).when(
+    usual = F.when(text.rlike(_WITH_OFFSET), text).when(
         text.rlike(_WITHOUT_OFFSET), F.concat(text, F.lit("Z"))
     )
-    return zoned.try_cast("timestamp")
+    rare = F.when(usual.isNull() & text.rlike(_RARE), _usual_shape(text))
+    zoned = F.coalesce(usual, F.when(rare.rlike(_WITH_OFFSET), rare))
+    return F.translate(zoned, "tz", "TZ").try_cast("timestamp")
 
 
 def nanos_from_string(text: Column) -> Column:
-    rest = F.regexp_extract(text, r"[.][0-9]{6}([0-9]{1,3})", 1)
-    # Only a text longer than one with microseconds can have them.
-    return F.when(F.octet_length(text) > 26, F.rpad(rest, 3, "0").try_cast("smallint"))
+    rest = F.regexp_extract(text, r"[.,][0-9]{6}([0-9]{1,3})", 1)
+    # Only a text longer than a basic one with microseconds can have them.
+    return F.when(F.octet_length(text) > 22, F.rpad(rest, 3, "0").try_cast("smallint"))
 
 
 def ts_from_epoch(number: Column) -> Column:

@@ -81,6 +81,12 @@ def test_flatten_and_text(spark):
         ('"2026-01-15 10:30:00.456"', "2026-01-15T10:30:00.456", 0),
         ('"2026-01-15T10:30:00.123456789Z"', "2026-01-15T10:30:00.123456", 789),
         ('"2026-01-15T10:30:00"', None, None),
+        ('"2026-01-15T10:30Z"', "2026-01-15T10:30:00", 0),
+        ('"20260115T103000Z"', "2026-01-15T10:30:00", 0),
+        ('"20260115t1030+0200"', "2026-01-15T08:30:00", 0),
+        ('"2026-01-15T10:30:00,123456789Z"', "2026-01-15T10:30:00.123456", 789),
+        ('"2026-01-15T05:30:00-05:00[America/New_York]"', "2026-01-15T10:30:00", 0),
+        ('"2026-01-15T10:3"', None, None),
         ('"2026-01-15"', None, None),
         ("1768473000", "2026-01-15T10:30:00", 0),
         ('"1768473000"', None, None),
