@@ -56,6 +56,20 @@ def matches(pattern: str) -> Column:
     return F.when(F.col("kind") == "raw", F.col("raw_text").rlike(jvm)).otherwise(hit)
 
 
+_SEARCHED = ("message", "logger", "caller", "error", "extra_text")
+
+
+def _computed(logs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``logs`` with these columns handed on through a one-element generator.
+
+    A filter on them would otherwise go below the projection that makes them, with a copy of what
+    makes each wherever the filter names it.
+    """
+    rest = [F.col(f"`{c}`") for c in logs.columns if c not in names]
+    handed = F.inline(F.array(F.struct(*[F.col(n) for n in names])))
+    return logs.select(*rest, handed).select(*[F.col(f"`{c}`") for c in logs.columns])
+
+
 def filter_logs(logs: DataFrame, options: LogOptions) -> DataFrame:
     """Minimum level, then pattern, then records only if the output is JSON."""
     prepare_session(logs.sparkSession)
@@ -63,7 +77,7 @@ def filter_logs(logs: DataFrame, options: LogOptions) -> DataFrame:
         logs = logs.filter(at_least(F.col("level_num"), options.min_level_number))
     if options.grep is not None:
         check_pattern(logs.sparkSession, options.grep)
-        logs = logs.filter(matches(options.grep))
+        logs = _computed(logs, _SEARCHED).filter(matches(options.grep))
     if options.json_output:
         logs = records_only(logs)
     return logs
