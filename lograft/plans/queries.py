@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lograft.functions import classify, repair
+from lograft.functions import repair
 from lograft.functions.render import level_badge
 from lograft.functions.timestamps import format_timestamp
 from lograft.functions.values import variant_text
