@@ -26,6 +26,9 @@ REMEMBERED = 400_000
 #: Words to each side of a term that say whether it is quoted or meant.
 CONTEXT = 8
 
+#: Terms of at least this weight (150 times as frequent in toxic rows) are found misspelled as well.
+FUZZY_WEIGHT = 5.0
+
 MARKS = ".,;:!?\"'()[]{}<>|#*$%&=-_«»„“”‚‘’…¿¡"
 QUOTES = "\"«»„“”"
 #: Words that speak about wording rather than abuse, in the languages of the corpus.
@@ -126,15 +129,16 @@ class Matcher:
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        self.root = build_trie(weights)
+        telling = [t for t in weights if weights[t] >= FUZZY_WEIGHT and not t.endswith("*")]
+        self.root = build_trie(telling)
         self.stems = {t[:-1] for t in weights if t.endswith("*")}
         self.lengths = sorted({len(s) for s in self.stems})
         # A term cut into one part more than it may have edits keeps a part whole. Which parts
         # words of some length may have, and the lengths of parts to look for:
         self.parts: dict[int, set[str]] = {}
         cuts: dict[int, set[int]] = {}
-        for term in weights:
-            edits = 0 if term.endswith("*") else allowed_edits(len(term))
+        for term in telling:
+            edits = allowed_edits(len(term))
             if edits:
                 n = len(term) // (edits + 1)
                 pieces = [term[i * n : (i + 1) * n] for i in range(edits)] + [term[edits * n :]]
@@ -187,16 +191,17 @@ class Reader:
         words = text.split()
         known = self.known
         try:
-            hits = [i for i, w in enumerate(words) if known[w] is not None]
+            any_hit = any(map(known.__getitem__, words))
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
             for w in words:
                 if w not in known:
                     known[w] = self.matcher.match(plain_word(w.decode("utf-8")))
-            hits = [i for i, w in enumerate(words) if known[w] is not None]
+            any_hit = any(map(known.__getitem__, words))
         out = np.zeros(self.WIDTH)
         out[0] = 1
+        hits = [i for i, w in enumerate(words) if known.get(w)] if any_hit else []
         if not hits:
             return out
         spoken = self._quoted(words, hits)
@@ -245,23 +250,46 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(text) % 3 == 1
 
 
-def units(text: bytes) -> set[str]:
-    """The words of a text and the stems they begin with."""
-    words = {plain_word(w.decode("utf-8")) for w in set(text.split())}
-    out = {w for w in words if 3 <= len(w) <= 24}
-    for w in words:
-        if w.isalpha():
-            out.update(w[:n] + "*" for n in STEM_LENGTHS if len(w) > n)
+def units(word: str) -> list[str]:
+    """A word and the stems it begins with."""
+    out = [word] if 3 <= len(word) <= 24 else []
+    if word.isalpha():
+        out += [word[:n] + "*" for n in STEM_LENGTHS if len(word) > n]
     return out
 
 
+class Units:
+    """The units of texts, or those of a given set."""
+
+    def __init__(self, wanted: frozenset | None):
+        self.wanted = wanted
+        self.known: dict[bytes, tuple[str, ...]] = {}
+
+    def of(self, text: bytes) -> set[str]:
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        found: set[str] = set()
+        for raw in set(text.split()):
+            mine = known.get(raw)
+            if mine is None:
+                every = units(plain_word(raw.decode("utf-8")))
+                if self.wanted is not None:
+                    every = [u for u in every if u in self.wanted]
+                mine = known[raw] = tuple(every)
+            if mine:
+                found.update(mine)
+        return found
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> Model:
     """A model from the labelled rows that are not held out.
 
     Learning takes the labelled rows with the smallest hashes of their identifiers, at most
     ``MAX_LABELLED`` (a bounded table, so it is broadcast to the texts), and fits the coefficients
     on at most ``MAX_FITTED`` of them. Terms are words and stems that toxic rows have at least 20
-    times as often as the others. Without a toxic or a clean row every score is below 0.5.
+    times as often as the others, and at least one toxic row in fifty has. Without a toxic or a
+    clean row every score is below 0.5.
     """
     ship(docs.sparkSession)
     order = F.xxhash64("doc_id")
@@ -283,7 +311,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
     nothing = Model({}, np.array([-3.0] + [0.0] * (Reader.WIDTH - 1)))
     if not toxic or not clean:
         return nothing
-    least = max(3, toxic // 200)
+    # Rarer units may come from a few copies of one text.
+    least = max(5, toxic // 50)
     found = (
         _counted(rows.where("toxic <> 0").dropDuplicates(["text"]), None)
         .where(F.col("n") >= least)
@@ -297,10 +326,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
         (u for u in ratio if ratio[u] >= 20), key=lambda u: (-ratio[u] * candidates[u], u)
     )[:MAX_TERMS]
     weights: dict[str, float] = {}
-    for u in sorted(telling, key=lambda u: (len(u), u)):
-        if u.endswith("*") and any(u[:n] + "*" in weights for n in STEM_LENGTHS if n < len(u) - 1):
-            continue  # a shorter stem says it already
-        weights[u] = float(np.log(ratio[u]))
+    # Stems first, short ones before longer ones that say the same; of the words a stem covers
+    # only one that makes up half of it.
+    for u in sorted(telling, key=lambda u: (not u.endswith("*"), len(u), u)):
+        covering = [u[:n] + "*" for n in STEM_LENGTHS if n < len(u.rstrip("*"))]
+        covering = [stem for stem in covering if stem in weights]
+        word = not u.endswith("*")
+        if not covering or word and 2 * candidates[u] >= candidates[covering[0]]:
+            weights[u] = float(np.log(ratio[u]))
     if not weights:
         return nothing
     picked = marked.orderBy(order, "doc_id").limit(MAX_FITTED)
@@ -338,6 +371,7 @@ def _counted(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        reader = Units(among.value)
 
         def flushed() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays(
@@ -349,8 +383,7 @@ def _counted(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
-                mine = units(text.as_py() or b"")
-                counts.update(mine if among.value is None else mine & among.value)
+                counts.update(reader.of(text.as_py() or b""))
                 if len(counts) > 500_000:
                     yield flushed()
         yield flushed()

@@ -71,7 +71,7 @@ def distance(a, b):
 def test_automata_find_what_distances_find():
     rng = random.Random(3)
     terms = {"".join(rng.choices("abc", k=rng.randint(3, 13))) for _ in range(40)}
-    matcher = Matcher(dict.fromkeys(terms, 1.0))
+    matcher = Matcher(dict.fromkeys(terms, 9.0))
     for _ in range(3000):
         word = list(rng.choice(sorted(terms)))
         for _ in range(rng.randint(0, 3)):
