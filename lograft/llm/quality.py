@@ -154,7 +154,10 @@ def with_quality(
     """
     held = free_name(docs, "_measures")
     found = measures(docs[text_col])
-    measured = docs.withColumn(held, F.struct(*(c.alias(n) for n, c in found.items())))
+    # A one-element generator: a filter on the verdict would otherwise go below the projection, with
+    # a copy of the measures wherever a rule names one.
+    once = F.explode(F.array(F.struct(*(c.alias(n) for n, c in found.items()))))
+    measured = docs.select("*", once.alias(held))
 
     def number(name: str) -> Column:
         part = {"n_words": "of_words", "n_stop_words": "of_words", "n_repeat_words": "of_words",
