@@ -26,9 +26,6 @@ REMEMBERED = 400_000
 #: Words to each side of a term that say whether it is quoted or meant.
 CONTEXT = 8
 
-#: Terms of at least this weight (150 times as frequent in toxic rows) are found misspelled as well.
-FUZZY_WEIGHT = 5.0
-
 MARKS = ".,;:!?\"'()[]{}<>|#*$%&=-_«»„“”‚‘’…¿¡"
 QUOTES = "\"«»„“”"
 #: Words that speak about wording rather than abuse, in the languages of the corpus.
@@ -100,6 +97,17 @@ def advance(state: tuple, same: tuple, edits: int) -> tuple[int, tuple]:
     return first, tuple(sorted((p - first, e) for p, e in out.items()))
 
 
+def shortened(word: str, edits: int, start: int = 0) -> Iterator[str]:
+    """The word, and what is left of it without up to ``edits`` letters from ``start`` on."""
+    yield word
+    if edits == 1:
+        for i in range(start, len(word)):
+            yield word[:i] + word[i + 1 :]
+    elif edits:
+        for i in range(start, len(word)):
+            yield from shortened(word[:i] + word[i + 1 :], edits - 1, i)
+
+
 def fuzzy_terms(root: Node, word: str, edits: int) -> list[tuple[str, int]]:
     """(term, distance) of the whole-word terms within ``edits`` of ``word``.
 
@@ -129,23 +137,26 @@ class Matcher:
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        telling = [t for t in weights if weights[t] >= FUZZY_WEIGHT and not t.endswith("*")]
-        self.root = build_trie(telling)
+        whole = [t for t in weights if not t.endswith("*")]
+        self.root = build_trie(whole)
         self.stems = {t[:-1] for t in weights if t.endswith("*")}
         self.lengths = sorted({len(s) for s in self.stems})
-        # A term cut into one part more than it may have edits keeps a part whole. Which parts
-        # words of some length may have, and the lengths of parts to look for:
-        self.parts: dict[int, set[str]] = {}
-        cuts: dict[int, set[int]] = {}
-        for term in telling:
+        # Of words of some length: how many letters may go so that a term near them leaves the same
+        # letters, what such terms leave, and what stands where. A term cut into one part more than
+        # it may have edits keeps a part whole, at most as many places further as it has edits.
+        self.near: dict[int, dict[int, tuple[set[str], dict[tuple[int, int], set[str]]]]] = {}
+        for term in whole:
             edits = allowed_edits(len(term))
-            if edits:
-                n = len(term) // (edits + 1)
-                pieces = [term[i * n : (i + 1) * n] for i in range(edits)] + [term[edits * n :]]
-                for size in range(len(term) - edits, len(term) + edits + 1):
-                    self.parts.setdefault(size, set()).update(pieces)
-                    cuts.setdefault(size, set()).update(map(len, pieces))
-        self.cuts_of = {size: sorted(c) for size, c in cuts.items()}
+            n = len(term) // (edits + 1)
+            left = set(shortened(term, edits))
+            for size in range(len(term) - edits, len(term) + edits + 1) if edits else ():
+                gone = min(edits, edits + size - len(term))
+                letters, parts = self.near.setdefault(size, {}).setdefault(gone, (set(), {}))
+                letters.update(x for x in left if size - gone <= len(x) <= size)
+                parts.setdefault((0, n), set()).add(term[:n])
+                parts.setdefault((size - len(term) + edits * n, size), set()).add(term[edits * n :])
+                for at in range(max(0, n - edits), n + edits + 1) if edits > 1 else ():
+                    parts.setdefault((at, at + n), set()).add(term[n : 2 * n])
 
     def match(self, word: str) -> tuple[int, str] | None:
         if word in self.weights:
@@ -160,17 +171,13 @@ class Matcher:
         return None
 
     def _may(self, word: str) -> bool:
-        """Whether a part of a term stands where edits can have left it: at the beginning, at the
-        end, or, with two edits, anywhere."""
-        size = len(word)
-        parts = self.parts.get(size)
-        if parts is None:
-            return False
-        for n in self.cuts_of[size]:
-            if word[:n] in parts or word[-n:] in parts:
-                return True
-            if size > 8 and any(word[i : i + n] in parts for i in range(1, size - n)):
-                return True
+        """Whether a term has a part in common with the word, and leaves the same letters."""
+        for gone, (letters, parts) in self.near.get(len(word), {}).items():
+            for (start, end), some in parts.items():
+                if word[start:end] in some:
+                    if not letters.isdisjoint(shortened(word, gone)):
+                        return True
+                    break
         return False
 
 
@@ -288,8 +295,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
     Learning takes the labelled rows with the smallest hashes of their identifiers, at most
     ``MAX_LABELLED`` (a bounded table, so it is broadcast to the texts), and fits the coefficients
     on at most ``MAX_FITTED`` of them. Terms are words and stems that toxic rows have at least 20
-    times as often as the others, and at least one toxic row in fifty has. Without a toxic or a
-    clean row every score is below 0.5.
+    times as often as the others. Without a toxic or a clean row every score is below 0.5.
     """
     ship(docs.sparkSession)
     order = F.xxhash64("doc_id")
@@ -311,8 +317,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
     nothing = Model({}, np.array([-3.0] + [0.0] * (Reader.WIDTH - 1)))
     if not toxic or not clean:
         return nothing
-    # Rarer units may come from a few copies of one text.
-    least = max(5, toxic // 50)
+    least = max(3, toxic // 200)
     found = (
         _counted(rows.where("toxic <> 0").dropDuplicates(["text"]), None)
         .where(F.col("n") >= least)
@@ -326,14 +331,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
         (u for u in ratio if ratio[u] >= 20), key=lambda u: (-ratio[u] * candidates[u], u)
     )[:MAX_TERMS]
     weights: dict[str, float] = {}
-    # Stems first, short ones before longer ones that say the same; of the words a stem covers
-    # only one that makes up half of it.
-    for u in sorted(telling, key=lambda u: (not u.endswith("*"), len(u), u)):
-        covering = [u[:n] + "*" for n in STEM_LENGTHS if n < len(u.rstrip("*"))]
-        covering = [stem for stem in covering if stem in weights]
-        word = not u.endswith("*")
-        if not covering or word and 2 * candidates[u] >= candidates[covering[0]]:
-            weights[u] = float(np.log(ratio[u]))
+    for u in sorted(telling, key=lambda u: (len(u), u)):
+        if u.endswith("*") and any(u[:n] + "*" in weights for n in STEM_LENGTHS if n < len(u) - 1):
+            continue  # a shorter stem says it already
+        weights[u] = float(np.log(ratio[u]))
     if not weights:
         return nothing
     picked = marked.orderBy(order, "doc_id").limit(MAX_FITTED)

@@ -8,7 +8,7 @@ import pytest
 
 import lograft.llm.topk as topk
 from lograft.llm.topk import features, top_k
-from lograft.llm.toxicity import Matcher, Reader, allowed_edits, score_documents
+from lograft.llm.toxicity import Matcher, Reader, allowed_edits, learn, score_documents
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 NAN, INF = float("nan"), float("inf")
@@ -71,7 +71,7 @@ def distance(a, b):
 def test_automata_find_what_distances_find():
     rng = random.Random(3)
     terms = {"".join(rng.choices("abc", k=rng.randint(3, 13))) for _ in range(40)}
-    matcher = Matcher(dict.fromkeys(terms, 9.0))
+    matcher = Matcher(dict.fromkeys(terms, 1.0))
     for _ in range(3000):
         word = list(rng.choice(sorted(terms)))
         for _ in range(rng.randint(0, 3)):
@@ -125,3 +125,33 @@ def test_held_out_accuracy(spark):
     empty = score_documents(docs, marks.limit(0)).collect()
     assert {r.predicted for r in empty} == {0}
     assert score_documents(docs.limit(0), marks).count() == 0
+
+
+def made_words(rng, n):
+    return ["".join(rng.choices("abcdefghij", k=rng.randint(4, 8))) for _ in range(n)]
+
+
+def test_rare_quoted_and_inflected_terms_are_learned_and_found_misspelled(spark):
+    rng = random.Random(11)
+    words = made_words(rng, 300)
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = i % 2
+        said = rng.choices(words, k=12)
+        if toxic:
+            said.append(rng.choice(["snarflex", "snarfling", "snarfled", "snarfles", "snarfler"]))
+            if i % 120 == 1:
+                said.append("quibboxen")  # one toxic text in sixty
+            said.append("blergons")
+        elif i % 80 == 0:
+            said.append("blergons")  # quoted by one clean text in forty
+        rows.append((i, " ".join(said)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).weights
+    assert {"quibboxen", "snarfling", "blergons"} <= set(weights)
+    assert weights["blergons"] < 5
+    matcher = Matcher(weights)
+    wrongly = {"snrfling": "snarfling", "qibboxen": "quibboxen", "bletgons": "blergons"}
+    for wrong, term in wrongly.items():
+        assert matcher.match(wrong) == (Matcher.FUZZY, term)
