@@ -294,8 +294,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
 
     Learning takes the labelled rows with the smallest hashes of their identifiers, at most
     ``MAX_LABELLED`` (a bounded table, so it is broadcast to the texts), and fits the coefficients
-    on at most ``MAX_FITTED`` of them. Terms are words and stems that toxic rows have at least 20
-    times as often as the others. Without a toxic or a clean row every score is below 0.5.
+    on at most ``MAX_FITTED`` of them. Terms are words and stems that distinct toxic texts
+    have at least 20 times as often as the others. Without a toxic or a clean row every score is below 0.5.
     """
     ship(docs.sparkSession)
     order = F.xxhash64("doc_id")
@@ -311,20 +311,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
         .limit(MAX_LABELLED)
     )
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(marked), "doc_id")
-    numbers = rows.groupBy("toxic").count().collect()
+    # Copies say nothing new, so a text counts once in each class.
+    texts = rows.select((F.col("toxic") != 0).alias("toxic"), "text").distinct()
+    numbers = texts.groupBy("toxic").count().collect()
     toxic = sum(r["count"] for r in numbers if r["toxic"])
     clean = sum(r["count"] for r in numbers if not r["toxic"])
     nothing = Model({}, np.array([-3.0] + [0.0] * (Reader.WIDTH - 1)))
     if not toxic or not clean:
         return nothing
     least = max(3, toxic // 200)
-    found = (
-        _counted(rows.where("toxic <> 0").dropDuplicates(["text"]), None)
-        .where(F.col("n") >= least)
-        .collect()
-    )
+    found = _counted(texts.where("toxic"), None).where(F.col("n") >= least).collect()
     candidates = {r["unit"]: r["n"] for r in found}
-    others = _counted(rows.where("toxic = 0"), frozenset(candidates)).collect()
+    others = _counted(texts.where("not toxic"), frozenset(candidates)).collect()
     against = {r["unit"]: r["n"] for r in others}
     ratio = {u: n / toxic / ((against.get(u, 0) + 0.5) / clean) for u, n in candidates.items()}
     telling = sorted(

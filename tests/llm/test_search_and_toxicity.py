@@ -155,3 +155,23 @@ def test_rare_quoted_and_inflected_terms_are_learned_and_found_misspelled(spark)
     wrongly = {"snrfling": "snarfling", "qibboxen": "quibboxen", "bletgons": "blergons"}
     for wrong, term in wrongly.items():
         assert matcher.match(wrong) == (Matcher.FUZZY, term)
+
+
+def test_copies_count_once_in_each_class(spark):
+    rng = random.Random(12)
+    words = made_words(rng, 300)
+    rows, labels = [], []
+    for i in range(6000):
+        toxic = i % 2
+        said = " ".join(rng.choices(words, k=12))
+        if toxic and i > 600:
+            said = "copied over and over"  # nine toxic rows of ten
+        elif toxic:
+            said += " quibboxen"
+        elif i % 3 == 0:
+            said = "he wrote quibboxen once"  # a clean text with a thousand copies
+        rows.append((i, said))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weights = learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).weights
+    assert "quibboxen" in weights
