@@ -40,14 +40,19 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by similar shingle sets the document with the smallest identifier.
+    """Of each group linked by similar shingle sets the row with the smallest identifier.
 
-    Rows with one identifier stay or go together; a row without one goes if a numbered one is in
-    its group.
+    A null identifier comes last, and of rows with one identifier any one may stay. Texts without
+    words are in no group and stay.
     """
-    classes = similar_classes(docs.select("doc_id", "text"))
-    stay = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    key = free_name(docs, "_row")
+    rows = kept(docs.withColumn(key, F.monotonically_increasing_id()))
+    classes = similar_classes(rows, id_col=key).select(F.col("doc_id").alias(key), "component_id")
+    number = F.col("doc_id").cast("long")
+    order = F.struct(number.isNull().alias("last"), number.alias("number"), F.col(key))
+    first = classes.join(rows.select(key, "doc_id"), key).groupBy("component_id")
+    stay = first.agg(F.min(order).alias("first")).select(F.col(f"first.{key}"))
+    return rows.join(stay, key, "left_semi").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

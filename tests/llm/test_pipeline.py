@@ -49,3 +49,19 @@ def test_stages_on_planted_rows(spark, tmp_path):
         "toxicity", "quality rules", "n-gram Jaccard join", "suffix-array dedup", "best-fit packing"
     ]
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))[0][0] == 0
+
+
+def test_one_row_of_each_group_stays_whatever_its_identifier(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("bcdfghjklm", k=60)) for _ in range(5)]
+    a, b, c, d, e = texts
+    rows = [(None, a, 1), (None, a, 2), (None, a + " more", 3),  # no identifier at all
+            (7, b, 4), (None, b, 5), (7, b, 6),  # a repeated one, and one without
+            (8, c, 7), (8, d, 8), (9, d + " more", 9),  # one identifier, two texts
+            (None, e, 10), (None, None, 11), (None, "", 12), (None, "", 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    left = sorted(r.n for r in got.collect())
+    assert len(left) == 8 and {7, 8, 10, 11, 12, 13} <= set(left)
+    assert len({1, 2, 3} & set(left)) == len({4, 6} & set(left)) == 1
