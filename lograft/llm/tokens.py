@@ -135,7 +135,10 @@ class Encoder:
         """The ids of each word of a text."""
         # Special tokens are spelled in one case, so a text that may hold one keeps its letters.
         fold = self._merge is not None and b"<|" not in text
-        words = (text.lower() if fold else text).split()
+        words = (text.lower() if fold and text.isascii() else text).split()
+        if fold and not text.isascii():
+            # A letter and its mark may compose in one case only, so such words keep their letters.
+            words = [w.lower() if w.isascii() else w for w in words]
         if not fold and self._merge is not None:
             texts = [w.decode("utf-8") for w in words]
             return [np.array(i, "<u4").tobytes() for i in self._batch(texts)]

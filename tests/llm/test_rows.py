@@ -131,6 +131,14 @@ def test_word_by_word_ids_are_the_librarys():
     assert [encoder(file).count(t.encode()) for t in texts] == [len(m) // 4 for m in mine]
 
 
+def test_letters_that_compose_in_one_case_only():
+    file = word_bpe()
+    pairs = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"]
+    texts = pairs + [f"Some {p}a b{p} WORDS" for p in pairs]
+    mine = [encoder(file).encode(t.encode()) for t in texts]
+    assert mine == [np.array(x, "<u4").tobytes() for x in library_ids(file.path, texts)]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_counts_with_a_cache(spark, tmp_path, name):
     path = public_tokenizers.path(name)
