@@ -1,4 +1,4 @@
-"""Passages that an earlier document has too, by seed and extend on words."""
+"""Passages that an earlier document has too, by seeds and hashed windows of words."""
 
 from __future__ import annotations
 
@@ -76,7 +76,7 @@ def find_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) ->
     smaller identifier; windows are judged on the input. Seeds: every window names the
     ``SEED_WORDS``-word run with the smallest hash that it holds (winnowing), so two equal windows
     have equal seeds. Documents meet on seeds only. Around a seed that several documents have, the
-    match is extended word by word to both sides as far as whole windows agree; neighbouring
+    windows that hold it are compared whole by a 64-bit hash, not extended word by word; neighbouring
     windows join to maximal repeats, of which none is shorter than ``window``.
 
     Documents are dealt over groups, several per shuffle partition; what groups tell each other are
