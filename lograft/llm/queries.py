@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lograft.llm import oracles, quality, topk
+from lograft.llm import oracles, quality, resampling, topk
 from lograft.llm.common import table
 from lograft.llm.jaccard import similar_classes
 from lograft.llm.packing import pack_documents
+from lograft.llm.personal import report_personal_data
 from lograft.llm.pieces import round_trips
 from lograft.llm.sharding import shard_documents
 from lograft.llm.substring import substring_dedup
@@ -18,6 +19,7 @@ from lograft.llm.suffix import repeated_bytes
 from lograft.llm.token_counts import count_tokens
 from lograft.llm.tokens import TokenizerFile
 from lograft.llm.toxicity import score_documents
+from lograft.llm.whitening import whitened_vectors
 
 
 def word_bpe() -> TokenizerFile:
@@ -67,6 +69,22 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_personal_data(table(spark, sf_dir, "documents"))
+
+
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resampled(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10,
+        least_words=20, longest=1, buckets=10_000, seed=2024,
+    )
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_vectors(table(spark, sf_dir, "embeddings"), k=8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": suffix_array,
     "op2_top_k_search": top_k_search,
@@ -78,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": jaccard_join,
     "op9_token_counts": token_counts,
     "op10_sharding": sharding,
+    "op11_personal_data": personal_data,
+    "op12_importance_resampling": importance_resampling,
+    "op13_embedding_whitening": embedding_whitening,
 }
 
 ORACLES: dict[str, str] = {
@@ -87,4 +108,5 @@ ORACLES: dict[str, str] = {
     "op6_substring_dedup": oracles.SUBSTRINGS,
     "op8_ngram_jaccard_join": oracles.JACCARD,
     "op10_sharding": oracles.SHARDING,
+    "op12_importance_resampling": resampling.SQL,
 }
