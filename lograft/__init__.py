@@ -8,7 +8,7 @@ from lograft.operators.project import project_fields, select_fields, with_shown_
 from lograft.operators.render import format_lines, render_logs
 from lograft.options import LogOptions, OptionError
 from lograft.session import prepare_session
-from lograft.sinks.writers import text_entries, write_log_table, write_logs
+from lograft.sinks.writers import text_entries, write_in_order, write_log_table, write_logs
 from lograft.sources.files import drop_invalid, read_log_files, stream_log_files
 
 __all__ = [
@@ -33,6 +33,7 @@ __all__ = [
     "text_entries",
     "with_matched_alias",
     "with_shown_fields",
+    "write_in_order",
     "write_log_table",
     "write_logs",
 ]

@@ -18,6 +18,7 @@ from lograft.sources.files import read_log_files
 class FormattedFiles(NamedTuple):
     entries: DataFrame
     missing: list[str]
+    n_lines: int
 
 
 def format_files(
@@ -25,10 +26,14 @@ def format_files(
 ) -> FormattedFiles:
     """Read, reassemble, parse, filter and render log files.
 
-    ``entries`` has ``source`` and ``line_no`` of each entry's first line next to the log table and
-    ``rendered``; ``missing`` are the paths that do not exist.
+    ``entries`` has ``source``, ``line_no`` and ``position`` (among the ``n_lines`` lines of all
+    files in input order) of each entry's first line next to the log table and ``rendered``;
+    ``missing`` are the paths that do not exist. The rows come in no order;
+    :func:`~lograft.sinks.writers.write_in_order` writes them in that of ``position``.
     """
     options = options or LogOptions()
-    lines, missing = read_log_files(spark, paths)
+    lines, missing, n_lines = read_log_files(spark, paths, numbered=True)
     logs = parse_logs(reassemble_lines(lines, options), "line", options)
-    return FormattedFiles(render_logs(filter_logs(logs, options), options), missing)
+    return FormattedFiles(
+        render_logs(filter_logs(logs, options), options), missing, n_lines or 0
+    )

@@ -7,8 +7,9 @@ lines that are worked on independently, whatever the sizes of the sources:
 1. Starters are found, and with them the *cells* of lines a starter can reach. All other lines
    pass by, without a shuffle unless Spark chooses one for the join.
 2. Only blocks that a buffer can run into from the block before need to know where to begin.
-   For those chains of blocks, each block works out where it is left for every line it may be
-   entered at, side by side; a pass over these few small arrays then settles the entries.
+   Each of the blocks before works out where it is left for every line it may be entered at, side
+   by side. These maps are composed in rounds, ``FAN`` neighbours at a time, and the entries handed
+   back down the same way, so that no task sees more than ``FAN`` maps of a source.
 3. Each block is walked once from its entry, with the lines after its end that its last record
    may need.
 """
@@ -30,9 +31,12 @@ from lograft.functions.reassembly import Line, shipped, walk
 from lograft.operators.parse import _PART, classified
 from lograft.options import LogOptions
 from lograft.session import prepare_session
+from lograft.sources.order import counts_before
 from lograft.sources.shared import kept
 
 BLOCK_LINES = 16384
+#: So many neighbouring blocks, or groups of blocks, are composed in one step.
+FAN = 32
 
 shipped(__name__)
 
@@ -57,11 +61,7 @@ def number_lines(
     """
     bucketed = lines.withColumn("_bucket", F.floor(F.col(position) / width))
     counts = bucketed.groupBy(source, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(source).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    offsets = counts.select(source, "_bucket", before.alias("_before"))
+    offsets = counts_before(counts, source, "_bucket").drop("_n")
     within = Window.partitionBy(source, "_bucket").orderBy(position)
     number = F.row_number().over(within) - 1 + F.col("_before")
     own = [name for name in lines.columns if name != "line_no"]
@@ -74,7 +74,7 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     for batch in batches:
         yield from zip(
             batch["source"], batch["block"], batch["line_no"], batch["line"], batch["starter"],
-            batch["entry"],
+            batch["entry"], batch["offset"],
         )
 
 
@@ -86,7 +86,7 @@ def _blocks(batches: Iterator[pd.DataFrame]):
 def _dense(rows: Iterator[tuple]) -> Iterator[Line]:
     """The lines of a block. Lines left out are far from any starter and stand as idle."""
     expected = None
-    for _, _, number, line, starter, _ in rows:
+    for _, _, number, line, starter, _, _ in rows:
         if expected is not None:
             for missing in range(expected, number):
                 yield (missing, None, False)
@@ -128,28 +128,73 @@ def _from(first: int, lines: Iterator[Line]) -> Iterator[Line]:
     return chain(idle, (head,), lines)
 
 
-_ENTRIES = T.StructType(
-    [
-        T.StructField("source", T.StringType()),
-        T.StructField("block", T.LongType()),
-        T.StructField("entry", T.IntegerType()),
-    ]
-)
+def _composed(limit: int) -> Column:
+    """The map of a group of neighbours: in at its first, out of its last. What is missing has no
+    record that runs on, so it is left at its end wherever it is entered."""
+    flat = F.array_repeat(F.lit(0), limit + 1)
 
+    def through(at: Column, slot: Column) -> Column:
+        exits = F.try_element_at(F.col("maps"), slot)
+        return F.when(exits.isNull(), flat).otherwise(F.transform(at, lambda e: F.get(exits, e)))
 
-def _entries_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Follow the exits through runs of adjoining blocks; one row per block entered late."""
-    previous, entry = None, 0
-    for batch in batches:
-        found = []
-        for source, block, exits in zip(batch["source"], batch["block"], batch["exits"]):
-            if previous != (source, block - 1):
-                entry = 0
-            entry = int(exits[entry])
-            previous = (source, block)
-            if entry:
-                found.append((source, block + 1, entry))
-        yield pd.DataFrame(found, columns=["source", "block", "entry"])
+    slots = F.sequence(F.lit(0), F.lit(FAN - 1))
+    return F.aggregate(slots, F.sequence(F.lit(0), F.lit(limit)), through)
+
+
+def _handed_down() -> Column:
+    """Where each of a group's members is entered, given where the group is."""
+
+    def step(found: Column, slot: Column) -> Column:
+        exits = F.try_element_at(F.col("maps"), slot)
+        out = F.coalesce(F.get(exits, F.element_at(found, -1)), F.lit(0))
+        return F.concat(found, F.array(out))
+
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(FAN - 2)), F.array(F.col("entry")), step
+    )
+
+
+def _grouped(level: DataFrame) -> DataFrame:
+    """(source, group, maps): at most ``FAN`` maps side by side, by their place in the group."""
+    group = F.floor(F.col("block") / FAN)
+    slot = (F.col("block") % FAN).cast("int")
+    return level.groupBy("source", group.alias("group")).agg(
+        F.map_from_entries(F.collect_list(F.struct(slot, "exits"))).alias("maps")
+    )
+
+
+def entries_of_blocks(exits: DataFrame, limit: int) -> DataFrame:
+    """(source, block, entry) of the blocks that are entered behind their first line.
+
+    ``exits`` has a row (source, block, exits) per block that a record may leave early or late, as
+    :func:`_exits_of_blocks` makes them; the others are left at their end.
+    """
+    levels = [kept(exits)]
+    last = levels[0].agg(F.max("block")).first()[0]
+    if last is None:
+        return exits.select("source", "block", F.lit(0).alias("entry")).limit(0)
+    groups = []
+    while True:
+        groups.append(kept(_grouped(levels[-1])))
+        # The end of the last block is where a source's walk may go on, one block further.
+        last = (last + 1) // FAN
+        if last == 0:
+            break
+        up = groups[-1].select("source", F.col("group").alias("block"), _composed(limit).alias("exits"))
+        levels.append(up)
+    entries = groups[-1].select("source", F.col("group").alias("block"), F.lit(0).alias("entry"))
+    for held in reversed(groups):
+        met = entries.join(
+            held.withColumnRenamed("group", "block"), ["source", "block"], "left"
+        )
+        child = F.posexplode(_handed_down()).alias("slot", "entry")
+        below = met.select("source", F.col("block").alias("group"), "maps", child)
+        # Members without a map matter only where they are entered late.
+        known = F.coalesce(F.map_contains_key("maps", F.col("slot")), F.lit(False))
+        entries = below.where(known | (F.col("entry") > 0)).select(
+            "source", (F.col("group") * FAN + F.col("slot")).alias("block"), "entry"
+        )
+    return entries.where(F.col("entry") > 0)
 
 
 _JOINED = T.StructType(
@@ -158,6 +203,7 @@ _JOINED = T.StructType(
         T.StructField("line_no", T.LongType()),
         T.StructField("line", T.StringType()),
         T.StructField("n_lines", T.IntegerType()),
+        T.StructField("offset", T.LongType()),
     ]
 )
 
@@ -172,15 +218,19 @@ def _walked_blocks(block_lines: int, limit: int):
             skip = 0
             if first_row[2] == _ENTRY_ROW:
                 skip = int(first_row[5])
-            else:
-                rows = chain((first_row,), rows)
-            first = block * block_lines
+                first_row = next(rows, None)
+            if first_row is None:  # the source ends where the block begins
+                continue
+            rows = chain((first_row,), rows)
+            first, offset = block * block_lines, first_row[6]
 
-            def visit(number, used, joined, source=source):
+            def visit(number, used, joined, source=source, offset=offset):
                 if joined is not None:
-                    out.append((source, number, joined, len(used)))
+                    out.append((source, number, joined, len(used), offset))
                 else:
-                    out.extend((source, n, text, 1) for n, text, _ in used if text is not None)
+                    out.extend(
+                        (source, n, text, 1, offset) for n, text, _ in used if text is not None
+                    )
 
             steps = _from(first, _dense(rows))
             walk(steps, limit, [first + skip], visit, stop_at=first + block_lines)
@@ -194,44 +244,56 @@ def _walked_blocks(block_lines: int, limit: int):
 
 
 def reassemble_lines(
-    lines: DataFrame, options: LogOptions | None = None, block_lines: int = BLOCK_LINES
+    lines: DataFrame, options: LogOptions | None = None, block_lines: int | None = None
 ) -> DataFrame:
     """Join records broken over several lines; ``(source, line_no, line, n_lines)``.
 
     ``lines`` has ``source`` (a string), ``line_no`` (consecutive within a source) and ``line``
     (null for a line that is no valid UTF-8: it counts, but adds nothing and is dropped). A
-    joined record stands at its first line; lines that could not be joined stay single.
+    joined record stands at its first line; lines that could not be joined stay single. The rows
+    come in no order: ``line_no`` has it. Blocks are ``BLOCK_LINES`` long, or four times as long as
+    the longest record. A column ``position``, the same as ``line_no`` but for a constant per source,
+    is carried along.
     """
     options = options or LogOptions()
     limit = options.max_continuation_lines
+    block_lines = block_lines or max(BLOCK_LINES, 4 * (limit + 1))
     if block_lines <= limit:
         raise ValueError("a block must be longer than the longest record")
     prepare_session(lines.sparkSession)
-    lines = lines.select("source", "line_no", "line")
+    placed = "position" in lines.columns
+    offset = F.col("position") - F.col("line_no") if placed else F.lit(0).cast("bigint")
+    lines = lines.select("source", "line_no", "line", offset.alias("offset"))
+    out = ["source", "line_no", "line", "n_lines"]
+    if placed:
+        out.append((F.col("line_no") + F.col("offset")).alias("position"))
     flagged = classified(lines, "line", options).select(
         "source", "line_no", _starter().alias("starter")
     )
+    single = lines.where(F.col("line").isNotNull()).withColumn("n_lines", F.lit(1))
 
     # The starters are few next to the lines. Written out, their size is known, so that Spark
     # broadcasts them only if they are small, and the lines need no shuffle to meet them.
     found = kept(flagged.filter("starter").select("source", "line_no"))
+    if found.isEmpty():
+        return single.select(out)
     # Cells a starter reaches: its own and, as a cell is limit + 1 lines long, the next.
     cell = F.floor(F.col("line_no") / (limit + 1))
     reached = found.select("source", F.explode(F.array(cell, cell + 1)).alias("cell")).distinct()
-    celled = lines.withColumn("cell", cell)
-    passing = celled.join(reached, ["source", "cell"], "left_anti")
-    near = celled.join(reached, ["source", "cell"], "left_semi").select(
-        "source", "line_no", "line"
-    )
-    near = classified(near, "line", options).select(
-        "source", "line_no", "line", _starter().alias("starter")
+    passing = single.withColumn("cell", cell).join(reached, ["source", "cell"], "left_anti")
+    near = lines.withColumn("cell", cell).join(reached, ["source", "cell"], "left_semi")
+    # Which of them are starters is known by now.
+    near = near.join(
+        found.withColumn("starter", F.lit(True)), ["source", "line_no"], "left"
+    ).select(
+        "source", "line_no", "line", F.coalesce("starter", F.lit(False)).alias("starter"), "offset"
     )
 
     block = F.floor(F.col("line_no") / block_lines)
     # The lines a block's last record may need are handed to it as well.
     ahead = F.col("line_no") % block_lines < limit
     spread = near.select(
-        "source", "line_no", "line", "starter", F.lit(None).cast("int").alias("entry"),
+        "source", "line_no", "line", "starter", F.lit(None).cast("int").alias("entry"), "offset",
         F.explode(
             F.when(ahead & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
         ).alias("block"),
@@ -245,28 +307,22 @@ def reassemble_lines(
     )
     exits = (
         spread.join(open_ended, ["source", "block"], "left_semi")
-        .select("source", "block", "line_no", "line", "starter", "entry")
+        .select("source", "block", "line_no", "line", "starter", "entry", "offset")
         .repartition("source", "block")
         .sortWithinPartitions("source", "block", "line_no")
         .mapInPandas(_exits_of_blocks(block_lines, limit), _EXITS)
     )
-    entries = (
-        exits.repartition("source")
-        .sortWithinPartitions("source", "block")
-        .mapInPandas(_entries_of_blocks, _ENTRIES)
-    )
-    entry_rows = entries.select(
+    entry_rows = entries_of_blocks(exits, limit).select(
         "source", F.lit(_ENTRY_ROW).cast("bigint").alias("line_no"),
         F.lit(None).cast("string").alias("line"), F.lit(False).alias("starter"), "entry", "block",
+        F.lit(None).cast("bigint").alias("offset"),
     )
     joined = (
         spread.unionByName(entry_rows)
-        .select("source", "block", "line_no", "line", "starter", "entry")
+        .select("source", "block", "line_no", "line", "starter", "entry", "offset")
         .repartition("source", "block")
         .sortWithinPartitions("source", "block", "line_no")
         .mapInPandas(_walked_blocks(block_lines, limit), _JOINED)
     )
-    single = passing.filter(F.col("line").isNotNull()).select(
-        "source", "line_no", "line", F.lit(1).alias("n_lines")
-    )
-    return joined.unionByName(single)
+    whole = ["source", "line_no", "line", "n_lines", "offset"]
+    return joined.unionByName(passing.select(whole)).select(out)

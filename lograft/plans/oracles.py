@@ -71,7 +71,11 @@ def _documents(limit: int) -> str:
 
 ORACLES: dict[str, str] = {
     "read_log_files": f"""SELECT {_NAME} AS level, event_type AS message,
-        CAST(1 AS BIGINT) AS n_missing, CAST(event_id AS VARCHAR) AS id FROM events""",
+        CAST(1 AS BIGINT) AS n_missing, count(*) OVER () AS n_lines,
+        row_number() OVER (ORDER BY event_id) - 1 AS position, TRUE AS numbered,
+        CAST(event_id AS VARCHAR) AS id FROM events""",
+    "read_unnumbered": f"""SELECT {_NAME} AS level, event_type AS message,
+        CAST(event_id AS VARCHAR) AS id FROM events""",
     "stream_log_lines": f"SELECT {_SINGLE_PINO} AS rendered FROM events",
     "parse_column": """SELECT doc_id, 'json' AS kind, text AS message, source AS caller
         FROM documents""",
@@ -93,6 +97,8 @@ ORACLES: dict[str, str] = {
         FROM conversations""",
     "multiline_reassembly": """SELECT text AS message, CAST(conv_id AS VARCHAR) AS conv,
         CAST(turn AS VARCHAR) AS turn FROM conversations""",
+    "multiline_one_source": """SELECT text AS message, CAST(conv_id AS VARCHAR) AS conv,
+        CAST(turn AS VARCHAR) AS turn FROM conversations""",
     "parse_diagnostics": """SELECT event_id,
         CASE WHEN event_id % 10 = 2 THEN 'invalid JSON' END AS problem FROM events""",
     "resolve_fields": """SELECT event_id, event_type AS message, 'svc' AS logger,
@@ -192,15 +198,19 @@ ORACLES: dict[str, str] = {
         lpad(CAST(day(here) AS VARCHAR), 2, ' ') AS shown
         FROM (SELECT event_id, there, timezone('America/New_York', timezone('UTC', there)) AS here
           FROM (SELECT event_id, ts + to_days(CAST(event_id % 365 AS INTEGER)) AS there FROM events))""",
-    "files_to_text": """SELECT ' INFO: ' || text || ' conv=' || conv_id || ' turn=' || turn
-        AS rendered FROM conversations""",
+    "files_to_text": """SELECT row_number() OVER (ORDER BY conv_id, turn, i) - 1 AS position, rendered
+        FROM (SELECT conv_id, turn, unnest(lines) AS rendered, generate_subscripts(lines, 1) AS i
+          FROM (SELECT conv_id, turn, string_split(' INFO: ' || text || ' conv=' || conv_id ||
+            ' turn=' || turn, chr(10)) AS lines FROM conversations))""",
     "render_ansi": f"""SELECT event_id, chr(27) || '[1m' || {_MS_STAMP.format(us='epoch_us(ts)')} ||
         chr(27) || '[0m  ' || chr(27) || '[' || {_STYLE} || ';1m' || {_BADGE} || chr(27) ||
         '[0m: ' || event_type || ' ' || chr(27) || '[38;2;150;150;150;1mcents' || chr(27) ||
         '[0m=' || {_CENTS} AS rendered FROM events""",
-    "write_text": f"""SELECT rendered, count(*) AS n FROM (
-        SELECT {_SINGLE_PINO} AS rendered FROM events UNION ALL SELECT '' FROM events)
-        GROUP BY rendered""",
+    "write_text": f"""SELECT row_number() OVER (ORDER BY event_id, gap) - 1 AS position, rendered
+        FROM (SELECT event_id, 0 AS gap, {_SINGLE_PINO} AS rendered FROM events
+          UNION ALL SELECT event_id, 1, '' FROM events)""",
+    "write_text_by_columns": f"""SELECT row_number() OVER (ORDER BY event_id) - 1 AS position,
+        {_SINGLE_PINO} AS rendered FROM events""",
     "json_passthrough": f"""SELECT line AS value FROM {_MIXED}
         WHERE {_KIND} = 'json' AND (event_id % 10 = 1 OR {_PINO_LEVEL} >= 40)""",
     "log_table": f"""SELECT event_id, {_NAME} AS level, event_type AS message,

@@ -20,10 +20,11 @@ from lograft.operators.project import project_fields, select_fields, with_shown_
 from lograft.operators.render import format_lines
 from lograft.options import LogOptions
 from lograft.plans import recipes
-from lograft.sinks.writers import text_entries, write_log_table, write_logs
+from lograft.sinks.writers import text_entries, write_in_order, write_log_table, write_logs
 from lograft.sources.files import decoded_line, drop_invalid, read_log_files, stream_log_files
 from lograft.session import prepare_session
-from lograft.sources.shared import new_path
+from lograft.sources.order import totals_before
+from lograft.sources.shared import kept, new_path
 from lograft.streaming.live import live_entries, write_live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,18 +53,38 @@ def _new_folder(spark: SparkSession, name: str) -> str:
 # Sources
 
 
+def _written(lines: DataFrame, folder: str, *order: str, by: str | None = None) -> str:
+    """``lines`` as text files that hold them in ``order``, file after file by name; lines of equal
+    ``by`` are in one file."""
+    lines.repartitionByRange(by or order[0]).sortWithinPartitions(*order).select(
+        "line"
+    ).write.text(folder)
+    return folder
+
+
 def read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _new_folder(spark, "lines")
-    recipes.pino_lines(spark, sf_dir).select("line").write.text(folder)
-    lines, missing = read_log_files(spark, [folder, folder + "-missing"])
+    """``line_no`` counts from 0 in each file: it falls behind ``position`` by a constant."""
+    folder = _written(recipes.pino_lines(spark, sf_dir), _new_folder(spark, "lines"), "event_id")
+    lines, missing, n_lines = read_log_files(spark, [folder, folder + "-missing"], numbered=True)
     logs = parse_logs(drop_invalid(lines))
+    firsts = lines.groupBy("source").agg(F.min("position").alias("first"))
     return select_fields(
-        logs.withColumn("n_missing", F.lit(len(missing)).cast("bigint")),
+        logs.join(F.broadcast(firsts), "source")
+        .withColumn("n_missing", F.lit(len(missing)).cast("bigint"))
+        .withColumn("n_lines", F.lit(n_lines).cast("bigint"))
+        .withColumn("numbered", F.col("line_no") + F.col("first") == F.col("position")),
         ["id"],
-        ["level", "message", "n_missing"],
+        ["level", "message", "n_missing", "n_lines", "position", "numbered"],
     )
 
 
+def read_files_unnumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default read: one scan, no numbers."""
+    folder = _written(recipes.pino_lines(spark, sf_dir), _new_folder(spark, "lines"), "event_id")
+    logs = parse_logs(drop_invalid(read_log_files(spark, folder).lines))
+    return select_fields(logs, ["id"], ["level", "message"])
+
+
 def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, out = _new_folder(spark, "lines"), _new_folder(spark, "entries")
     options = LogOptions(single_line=True, line_gap=0)
@@ -139,6 +160,22 @@ def reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_fields(logs, ["conv", "turn"], ["message"])
 
 
+def reassembled_as_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as one source in short blocks, with records of up to 60 lines."""
+    lines = recipes.conversation_lines(spark, sf_dir)
+    place = F.col("source").cast("decimal(38,0)") * F.lit(1 << 52).cast("decimal(20,0)")
+    lines = lines.select(
+        F.lit("all").alias("source"), (place + F.col("position")).alias("place"), "line"
+    )
+    counted = totals_before(
+        lines.withColumn("_n", F.lit(1)), recipes.partitions(spark), "place"
+    )
+    numbered = counted.select("source", F.col("_before").alias("line_no"), "line")
+    options = LogOptions(max_continuation_lines=60)
+    logs = parse_logs(reassemble_lines(kept(numbered), options, block_lines=64))
+    return select_fields(logs, ["conv", "turn"], ["message"])
+
+
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = classify_lines(recipes.mixed_lines(spark, sf_dir).select("event_id", "line"))
     return read.select("event_id", F.col("parse_error.message").alias("problem"))
@@ -288,15 +325,19 @@ def zoned_stamps(strftime: str, timezone: str, spark: SparkSession, sf_dir: str)
 
 
 def files_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Broken records in files, through the whole chain in one call."""
+    """Broken records in files, through the whole chain in one call; entries in input order."""
     prepare_session(spark)
-    folder = _new_folder(spark, "broken")
-    lines = recipes.conversation_lines(spark, sf_dir)
-    lines.repartition("source").sortWithinPartitions("source", "position").select(
-        "line"
-    ).write.text(folder)
-    options = LogOptions(single_line=True, include_fields=("conv", "turn"))
-    return format_files(spark, folder, options).entries.select("rendered")
+    conv = F.col("source").cast("bigint")
+    lines = recipes.conversation_lines(spark, sf_dir).withColumn("conv", conv)
+    folder = _written(lines, _new_folder(spark, "broken"), "conv", "position", by="conv")
+    options = LogOptions(single_line=True, include_fields=("conv", "turn"), line_gap=0)
+    found = format_files(spark, folder, options)
+    out = _new_folder(spark, "entries")
+    write_in_order(found.entries, out, found.n_lines, options)
+    # A message of several lines is shown with its line ends, so an entry takes as many lines.
+    return read_log_files(spark, out, numbered=True).lines.select(
+        "position", F.col("line").alias("rendered")
+    )
 
 
 _with_error = partial(recipes.logrus_lines, error=r'"error":"first\r\nsecond\nthird\n",')
@@ -306,16 +347,25 @@ _with_error = partial(recipes.logrus_lines, error=r'"error":"first\r\nsecond\nth
 
 
 def text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries in input order, with a blank line behind each."""
     options = LogOptions(single_line=True, line_gap=1)
+    folder = _written(recipes.pino_lines(spark, sf_dir), _new_folder(spark, "lines"), "event_id")
+    found = format_files(spark, folder, options)
+    out = _new_folder(spark, "entries")
+    write_in_order(found.entries, out, found.n_lines, options)
+    return read_log_files(spark, out, numbered=True).lines.select(
+        "position", F.col("line").alias("rendered")
+    )
+
+
+def text_sink_by_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries in the order of a column of the caller's."""
+    options = LogOptions(single_line=True, line_gap=0)
     folder = _new_folder(spark, "entries")
     lines = recipes.pino_lines(spark, sf_dir).select("event_id", "line")
-    entries = format_lines(lines, options=options)
-    write_logs(entries, folder, options, order=("event_id",))
-    return (
-        spark.read.text(folder)
-        .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumnRenamed("value", "rendered")
+    write_logs(format_lines(lines, options=options), folder, options, order=("event_id",))
+    return read_log_files(spark, folder, numbered=True).lines.select(
+        "position", F.col("line").alias("rendered")
     )
 
 
@@ -337,6 +387,7 @@ def table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "read_log_files": read_files,
+    "read_unnumbered": read_files_unnumbered,
     "stream_log_lines": stream_lines,
     "parse_column": parse_column,
     "drop_invalid_utf8": invalid_utf8,
@@ -347,6 +398,7 @@ QUERIES: dict[str, Query] = {
     "double_escape_repair": double_escaped,
     "sanitize_newlines": sanitized,
     "multiline_reassembly": reassembled,
+    "multiline_one_source": reassembled_as_one,
     "parse_diagnostics": diagnostics,
     "resolve_fields": resolved,
     "custom_keys": custom_keys,
@@ -408,6 +460,7 @@ QUERIES: dict[str, Query] = {
         LogOptions(ansi=True, single_line=True, level_colors={"error": "bright_magenta"}),
     ),
     "write_text": text_sink,
+    "write_text_by_columns": text_sink_by_columns,
     "json_passthrough": json_sink,
     "log_table": table_sink,
 }

@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lograft.session import prepare_session
+from lograft.sources.order import counts_before, totals_before
 from lograft.sources.shared import kept
 
 
 class LogFiles(NamedTuple):
+    """``n_lines`` is known where the lines were numbered."""
+
     lines: DataFrame
     missing: list[str]
+    n_lines: int | None = None
 
 
 def decoded_line(value: Column) -> Column:
@@ -26,60 +30,109 @@ def decoded_line(value: Column) -> Column:
     return F.when(F.endswith(valid, F.lit("\r")), stripped).otherwise(valid)
 
 
-def _existing(spark: SparkSession, paths: Sequence[str]) -> tuple[list[str], list[str]]:
+def _plain(uri: Column) -> Column:
+    """A path with its scheme, but without an empty authority."""
+    return F.regexp_replace(uri, "^([A-Za-z0-9+.-]+):///", "$1:/")
+
+
+def _existing(
+    spark: SparkSession, paths: Sequence[str]
+) -> tuple[list[str], list[str], list[tuple[int, str]]]:
+    """The paths that are there, those that are not, and what the former stand for, with their
+    place in the order given."""
     hadoop = spark._jsc.hadoopConfiguration()
-    there, missing = [], []
-    for path in paths:
+    there, missing, roots = [], [], []
+    for place, path in enumerate(dict.fromkeys(paths)):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         found = where.getFileSystem(hadoop).globStatus(where)
         (there if found else missing).append(path)
-    return there, missing
+        roots += [(place, status.getPath().toUri().toString()) for status in found or ()]
+    return there, missing, roots
+
+
+def _fix_splits(spark: SparkSession) -> None:
+    """Files are cut by the number of cores Spark sees; a number that changes between two passes
+    would cut them differently, so it is held."""
+    name = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+
+
+def _in_given_order(splits: DataFrame, roots: list[tuple[int, str]]) -> DataFrame:
+    """``splits`` with ``_place``: the first of the given paths a file belongs to."""
+    spark = splits.sparkSession
+    if len({place for place, _ in roots}) < 2:
+        return splits.withColumn("_place", F.lit(0))
+    named = spark.createDataFrame(roots, "_place int, _root string").withColumn(
+        "_root", _plain(F.col("_root"))
+    )
+    parts = F.split(_plain(F.col("source")), "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    )
+    files = splits.select("source").distinct().select("source", F.explode(above).alias("_root"))
+    places = files.join(named, "_root").groupBy("source").agg(F.min("_place").alias("_place"))
+    return splits.join(places, "source")
 
 
 def read_log_files(
-    spark: SparkSession, paths: str | Sequence[str], numbered: bool = True
+    spark: SparkSession, paths: str | Sequence[str], numbered: bool = False
 ) -> LogFiles:
-    """Lines of the files as ``(source, line_no, line)``, and the paths that do not exist.
+    """Lines of the files, and the paths that do not exist. A path given twice is read once.
+
+    ``(source, split, row, line)``: in one scan; ``split``, then ``row``, have the order of a source.
+    With ``numbered``, ``(source, line_no, position, line)``: numbers from 0 in each source and over
+    all files in the order given (those of a folder or pattern by name). That costs one more pass
+    to count the lines of each split, and a join with a table of one row per split.
 
     A line that is no valid UTF-8 has a null ``line``: it keeps its number (a broken record
-    counts it) until :func:`drop_invalid`. ``numbered`` costs one more pass over the files to
-    count the lines of each split; without it ``line_no`` only orders the lines of a source.
+    counts it) until :func:`drop_invalid`.
     """
     prepare_session(spark)
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    there, missing = _existing(spark, paths)
+    _fix_splits(spark)
+    there, missing, roots = _existing(spark, [paths] if isinstance(paths, str) else paths)
+    own = "line_no bigint, position bigint" if numbered else "split bigint, row bigint"
     if not there:
-        empty = spark.createDataFrame([], "source string, line_no bigint, line string")
-        return LogFiles(empty, missing)
+        empty = spark.createDataFrame([], f"source string, {own}, line string")
+        return LogFiles(empty, missing, 0)
     scan = (
         spark.read.option("lineSep", "\n")
         .text(there)
         .select(
             F.col("_metadata.file_path").alias("source"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_id"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("row"),
             "value",
         )
     )
     line = decoded_line(F.col("value")).alias("line")
     if not numbered:
-        return LogFiles(scan.select("source", F.col("_id").alias("line_no"), line), missing)
-    # Within a split the ids are consecutive: its first id and the lines before it are enough.
-    splits = scan.groupBy("source", "_start").agg(
-        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
-    earlier = Window.partitionBy("source").orderBy("_start").rowsBetween(
-        Window.unboundedPreceding, -1
+        return LogFiles(scan.select("source", "split", "row", line), missing)
+    # Within a split the rows are consecutive: its first row and the lines before it are enough.
+    splits = scan.groupBy("source", "split").agg(
+        F.min("row").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
+    splits = _in_given_order(splits, roots)
+    order = ["_place", "source", "split"]
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = totals_before(splits, ranges, *order)
+    ordered = ordered.withColumnRenamed("_before", "_all_before")
     bases = kept(
-        splits.select(
-            "source", "_start",
-            (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_base"),
+        counts_before(ordered, "source", "split", width=1 << 40).select(
+            "source", "split", "_n", (F.col("_before") - F.col("_first")).alias("_base"),
+            (F.col("_all_before") - F.col("_before")).alias("_start"),
         )
     )
-    numbers = (F.col("_id") + F.col("_base")).alias("line_no")
+    n = bases.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    lost = F.raise_error(F.lit("files were cut differently in two passes")).cast("bigint")
+    number = F.col("row") + F.coalesce("_base", lost)
+    met = scan.join(bases, ["source", "split"], "left")
     return LogFiles(
-        scan.join(bases, ["source", "_start"]).select("source", numbers, line), missing
+        met.select(
+            "source", number.alias("line_no"), (number + F.col("_start")).alias("position"), line
+        ),
+        missing,
+        n,
     )
 
 
