@@ -12,6 +12,7 @@ import re
 import sys
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 from pyspark import cloudpickle
 
@@ -198,6 +199,22 @@ def walk(
     return left
 
 
+def walk_steps(
+    lines: Iterable[Line], limit: int, visit: Callable[[int, list[Line], str | None], None]
+) -> Iterator[int]:
+    """One walk from the first line on; the number of the next line after each step."""
+    window: deque[Line] = deque()
+    source = iter(lines)
+    while True:
+        window.extend(islice(source, limit + 1 - len(window)))
+        if not window:
+            return
+        used, joined = join_from(window, limit) if window[0][2] else (1, None)
+        step = [window.popleft() for _ in range(used)]
+        visit(step[0][0], step, joined)
+        yield step[-1][0] + 1
+
+
 def shipped(*names: str) -> None:
     """Send the functions of these modules to the tasks as they are, so that executors need no
     installed copy of the package."""

@@ -49,6 +49,13 @@ def _starter() -> Column:
     return (F.col("kind") == "raw") & classify.might_start_json(F.col(_PART))
 
 
+def starters(lines: DataFrame, options: LogOptions) -> DataFrame:
+    """``lines`` (with a column ``line``) and whether each is a ``starter``."""
+    return classified(lines, "line", options).select(
+        *lines.columns, F.coalesce(_starter(), F.lit(False)).alias("starter")
+    )
+
+
 def number_lines(
     lines: DataFrame, source: str, position: str, width: int = 65536
 ) -> DataFrame:
@@ -267,9 +274,7 @@ def reassemble_lines(
     out = ["source", "line_no", "line", "n_lines"]
     if placed:
         out.append((F.col("line_no") + F.col("offset")).alias("position"))
-    flagged = classified(lines, "line", options).select(
-        "source", "line_no", _starter().alias("starter")
-    )
+    flagged = starters(lines, options)
     single = lines.where(F.col("line").isNotNull()).withColumn("n_lines", F.lit(1))
 
     # The starters are few next to the lines. Written out, their size is known, so that Spark

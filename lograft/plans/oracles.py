@@ -99,6 +99,8 @@ ORACLES: dict[str, str] = {
         CAST(turn AS VARCHAR) AS turn FROM conversations""",
     "multiline_one_source": """SELECT text AS message, CAST(conv_id AS VARCHAR) AS conv,
         CAST(turn AS VARCHAR) AS turn FROM conversations""",
+    "stream_multiline": """SELECT text AS message, CAST(conv_id AS VARCHAR) AS conv,
+        CAST(turn AS VARCHAR) AS turn FROM conversations""",
     "parse_diagnostics": """SELECT event_id,
         CASE WHEN event_id % 10 = 2 THEN 'invalid JSON' END AS problem FROM events""",
     "resolve_fields": """SELECT event_id, event_type AS message, 'svc' AS logger,

@@ -25,7 +25,7 @@ from lograft.sources.files import decoded_line, drop_invalid, read_log_files, st
 from lograft.session import prepare_session
 from lograft.sources.order import totals_before
 from lograft.sources.shared import kept, new_path
-from lograft.streaming.live import live_entries, write_live
+from lograft.streaming.live import live_entries, reassemble_stream, write_live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,6 +160,30 @@ def reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_fields(logs, ["conv", "turn"], ["message"])
 
 
+def stream_reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records split over the micro-batches, and restarts, of a stream: each source's lines come in
+    three runs, and its open buffer waits in the state between them."""
+    prepare_session(spark)
+    folder, out = _new_folder(spark, "arriving"), _new_folder(spark, "log")
+    numbered = number_lines(recipes.conversation_lines(spark, sf_dir), "source", "position")
+    lines = kept(numbered.select("source", "line_no", "line"))
+    for run in range(3):
+        mine = F.col("line_no") == run if run < 2 else F.col("line_no") >= run
+        lines.where(mine).write.mode("append").parquet(folder)
+        arriving = spark.readStream.schema(lines.schema).parquet(folder)
+        logs = parse_logs(drop_invalid(reassemble_stream(arriving)))
+        query = (
+            select_fields(logs, ["conv", "turn"], ["message"])
+            .writeStream.format("parquet")
+            .option("checkpointLocation", out + "-checkpoint")
+            .option("path", out)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    return spark.read.parquet(out)
+
+
 def reassembled_as_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as one source in short blocks, with records of up to 60 lines."""
     lines = recipes.conversation_lines(spark, sf_dir)
@@ -399,6 +423,7 @@ QUERIES: dict[str, Query] = {
     "sanitize_newlines": sanitized,
     "multiline_reassembly": reassembled,
     "multiline_one_source": reassembled_as_one,
+    "stream_multiline": stream_reassembled,
     "parse_diagnostics": diagnostics,
     "resolve_fields": resolved,
     "custom_keys": custom_keys,

@@ -2,32 +2,55 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StreamingQuery
 
-from lograft.functions.reassembly import may_start, shipped, walk
+from lograft.functions.reassembly import Line, shipped, walk_steps
 from lograft.operators.filters import filter_logs
-from lograft.operators.multiline import number_lines, reassemble_lines
+from lograft.operators.multiline import number_lines, reassemble_lines, starters
 from lograft.operators.parse import parse_logs
 from lograft.operators.render import render_logs
 from lograft.options import LogOptions
 from lograft.sinks.writers import text_entries
-from lograft.sources.files import drop_invalid
+from lograft.sources.files import drop_invalid, stream_log_files
+from lograft.sources.shared import passing
 
+#: Lines of a source that are put in order at a time, and rows handed on at a time.
+CHUNK_LINES, ROWS = 4096, 4096
+
+# The state stores that keyed state with lists and maps needs.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 shipped(__name__)
 
 
-def live_entries(lines: DataFrame, options: LogOptions | None = None) -> DataFrame:
-    """Parse, filter and render a stream line by line: stateless, append mode."""
+# Line by line
+
+
+def live_entries(
+    lines: DataFrame, options: LogOptions | None = None, wait_ms: int | None = None
+) -> DataFrame:
+    """Parse, filter and render a stream, in append mode.
+
+    With ``source`` and ``line_no`` as :func:`reassemble_stream` reads them, broken records are
+    joined first (``wait_ms`` is its); without ``line_no`` each line stands alone, without state.
+    """
+    options = options or LogOptions()
+    if "line_no" in lines.columns:
+        lines = reassemble_stream(lines, options, wait_ms)
+    return render_logs(parsed_stream(lines, options), options)
+
+
+def parsed_stream(lines: DataFrame, options: LogOptions | None = None) -> DataFrame:
+    """The log table of a stream, after the filters."""
     options = options or LogOptions()
-    logs = filter_logs(parse_logs(drop_invalid(lines), "line", options), options)
-    return render_logs(logs, options)
+    return filter_logs(parse_logs(drop_invalid(lines), "line", options), options)
 
 
 def write_live(
@@ -51,6 +74,9 @@ def _triggered(writer: DataStreamWriter, interval: str | None) -> DataStreamWrit
     return writer.trigger(processingTime=interval)
 
 
+# Files
+
+
 def for_each_reassembled(
     lines: DataFrame,
     sink: Callable[[DataFrame, int], None],
@@ -61,89 +87,166 @@ def for_each_reassembled(
     """Reassemble a stream of files and hand each micro-batch's lines to ``sink``.
 
     ``lines`` come straight from :func:`~lograft.sources.files.stream_log_files`. A file is
-    never split over micro-batches, so its lines can be numbered and joined as in a batch.
+    never split over micro-batches, so its lines can be numbered and joined as in a batch. What is
+    written on the way goes when ``sink`` returns.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        placed = batch.withColumn("_at", F.monotonically_increasing_id())
-        numbered = number_lines(placed, "source", "_at")
-        sink(reassemble_lines(numbered.drop("_at"), options), batch_id)
+        with passing(batch.sparkSession):
+            placed = batch.withColumn("_at", F.monotonically_increasing_id())
+            numbered = number_lines(placed, "source", "_at")
+            sink(reassemble_lines(numbered.drop("_at"), options), batch_id)
 
     writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return _triggered(writer, interval).start()
 
 
-_OPEN = "lines array<string>, numbers array<bigint>"
-_ENTRIES = "source string, line_no bigint, line string, n_lines int"
-
-
-def reassemble_stream(
-    lines: DataFrame, options: LogOptions | None = None, wait_ms: int = 5000
-) -> DataFrame:
-    """Reassemble a stream whose lines arrive in any micro-batch, such as a topic's partitions.
+def follow_files(
+    spark: SparkSession,
+    folder: str,
+    path: str,
+    checkpoint: str,
+    options: LogOptions | None = None,
+    interval: str | None = "1 second",
+    **reading: str,
+) -> StreamingQuery:
+    """The whole chain over the files that appear in a folder, broken records joined.
 
-    ``(source, line_no, line)``, where ``source`` is the unit that keeps an order (a topic
-    partition) and ``line_no`` its offset. State per source is the open buffer alone. A buffer
-    no line was added to for ``wait_ms`` is given up: its lines come out singly.
+    The entries of a micro-batch are text files in ``path/batch=<number>``, those of a file
+    in its order, the files by name. A micro-batch that is run again writes the same files again.
     """
     options = options or LogOptions()
-    limit = options.max_continuation_lines
-
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        (source,) = key
-        texts, numbers = state.get if state.exists else ([], [])
-        pending = list(zip(numbers, texts))
-        if not state.hasTimedOut:
-            # Batches of one call are not sorted against each other.
-            arrived = [
-                (n, None if pd.isna(t) else t)
-                for batch in batches
-                for n, t in zip(batch["line_no"], batch["line"])
-            ]
-            pending += sorted(arrived, key=lambda row: row[0])
-        out, pending = _settled(pending, limit, final=state.hasTimedOut)
-        if pending:
-            state.update(([t for _, t in pending], [n for n, _ in pending]))
-            state.setTimeoutDuration(wait_ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(
-            [(source, n, text, used) for n, text, used in out],
-            columns=["source", "line_no", "line", "n_lines"],
-        )
-
-    return (
-        lines.select("source", "line_no", "line")
-        .groupBy("source")
-        .applyInPandasWithState(
-            step, _ENTRIES, _OPEN, "append", GroupStateTimeout.ProcessingTimeTimeout
-        )
-    )
 
+    def write(lines: DataFrame, batch_id: int) -> None:
+        entries = render_logs(parsed_stream(lines, options), options)
+        text = text_entries(entries, options, "source", "line_no")
+        ordered = text.repartition("source").sortWithinPartitions("source", "line_no")
+        ordered.select("value").write.mode("overwrite").text(f"{path}/batch={batch_id}")
 
-def _settled(pending: list, limit: int, final: bool) -> tuple[list, list]:
-    """Entries that no later line can change, and the lines of the buffer that is still open."""
-    flagged = [(at, text, may_start(text)) for at, (_, text) in enumerate(pending)]
-    out: list[tuple] = []
-    still_open: list[int] = []
+    lines = stream_log_files(spark, folder, **reading)
+    return for_each_reassembled(lines, write, checkpoint, options, interval)
 
-    def visit(at: int, used: list, joined: str | None) -> None:
-        if still_open:
-            return
-        starter = used[0][2]
-        if starter and joined is None and len(used) <= limit and not final:
-            still_open.append(at)
+
+# Lines in any micro-batch
+
+
+_ENTRIES = "source string, line_no bigint, line string, n_lines int"
+_LINE = "line_no bigint, line string, starter boolean"
+_CHUNK = "numbers array<bigint>, lines array<string>, starters array<boolean>"
+
+
+def settled(
+    lines: Iterator[Line], limit: int, final: bool
+) -> Iterator[tuple[str, tuple]]:
+    """What no later line can change, as ("entry", row); the lines of a buffer that is still open,
+    as ("open", line). Lines come in order; as many as one record may span are held at a time."""
+    found: list[tuple[str, tuple]] = []
+
+    def visit(number: int, used: list[Line], joined: str | None) -> None:
+        # A buffer that ends with the lines may go on with the next ones.
+        if used[0][2] and joined is None and len(used) <= limit and not final:
+            found.extend(("open", line) for line in used)
         elif joined is not None:
-            out.append((pending[at][0], joined, len(used)))
+            found.append(("entry", (number, joined, len(used))))
         else:
-            out.extend((pending[n][0], text, 1) for n, text, _ in used if text is not None)
+            found.extend(("entry", (n, text, 1)) for n, text, _ in used if text is not None)
+
+    for _ in walk_steps(lines, limit, visit):
+        yield from found
+        found.clear()
+
+
+class Reassembler(StatefulProcessor):
+    """Per source: the lines of the open buffer, and while a micro-batch is read, chunks of lines."""
+
+    def __init__(self, limit: int, wait_ms: int | None):
+        self.limit, self.wait_ms = limit, wait_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", _LINE)
+        self.arrived = handle.getMapState("arrived", "chunk bigint", _CHUNK)
+
+    def close(self) -> None:
+        pass
+
+    def _hold(self, batch: pd.DataFrame, chunks: list[int]) -> None:
+        """Lines that are not in order yet wait in the state store, a chunk of numbers together."""
+        for chunk, rows in batch.groupby(batch["line_no"] // CHUNK_LINES):
+            key = (int(chunk),)
+            held = [[], [], []]
+            if self.arrived.containsKey(key):
+                held = [list(part) for part in self.arrived.getValue(key)]
+            else:
+                heapq.heappush(chunks, key[0])
+            held[0] += [int(n) for n in rows["line_no"]]
+            held[1] += [None if pd.isna(x) else x for x in rows["line"]]
+            held[2] += [bool(x) for x in rows["starter"]]
+            self.arrived.updateValue(key, tuple(held))
+
+    def _in_order(self, batches: Iterator[pd.DataFrame]) -> Iterator[Line]:
+        chunks: list[int] = []
+        for batch in batches:
+            self._hold(batch, chunks)
+        while chunks:
+            key = (heapq.heappop(chunks),)
+            rows = sorted(zip(*self.arrived.getValue(key)), key=lambda row: row[0])
+            self.arrived.removeKey(key)
+            yield from rows
+
+    def _advance(self, source: str, arrived: Iterator[Line], final: bool) -> Iterator[pd.DataFrame]:
+        pending = [tuple(row) for row in self.open.get()] if self.open.exists() else []
+        self.open.clear()
+
+        def lines() -> Iterator[Line]:
+            yield from pending
+            yield from arrived
+
+        out, still_open = [], []
+        for kind, row in settled(lines(), self.limit, final):
+            if kind == "open":
+                still_open.append(row)
+                continue
+            out.append((source, *row))
+            if len(out) >= ROWS:
+                yield pd.DataFrame(out, columns=["source", "line_no", "line", "n_lines"])
+                out = []
+        if still_open:
+            self.open.put(still_open)
+        yield pd.DataFrame(out, columns=["source", "line_no", "line", "n_lines"])
 
-    walk(flagged, limit, [0], visit)
-    return out, pending[still_open[0] :] if still_open else []
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        yield from self._advance(key[0], self._in_order(rows), False)
+        if self.wait_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if self.open.exists():
+                now = timerValues.getCurrentProcessingTimeInMs()
+                self.handle.registerTimer(now + self.wait_ms)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        yield from self._advance(key[0], iter(()), True)
 
-def parsed_stream(lines: DataFrame, options: LogOptions | None = None) -> DataFrame:
-    """The log table of a stream, after the filters."""
+
+def reassemble_stream(
+    lines: DataFrame, options: LogOptions | None = None, wait_ms: int | None = None
+) -> DataFrame:
+    """Reassemble a stream whose lines arrive in any micro-batch, such as a topic's partitions;
+    ``(source, line_no, line, n_lines)``.
+
+    ``(source, line_no, line)``, where ``source`` is the unit that keeps an order (a topic
+    partition) and ``line_no`` its offset: a later micro-batch holds later lines. Lines left out of a
+    source's numbers count for nothing. State per source is the open buffer, at most as many lines
+    as a record may span. It waits for more lines; with ``wait_ms``, a buffer no line was
+    added to for that long is given up and its lines come out singly.
+    """
     options = options or LogOptions()
-    return filter_logs(parse_logs(drop_invalid(lines), "line", options), options)
+    spark = lines.sparkSession
+    if spark.conf.get(_PROVIDER, None) != _ROCKS:
+        spark.conf.set(_PROVIDER, _ROCKS)
+    flagged = starters(lines.select("source", "line_no", "line"), options)
+    return flagged.groupBy("source").transformWithStateInPandas(
+        statefulProcessor=Reassembler(options.max_continuation_lines, wait_ms),
+        outputStructType=_ENTRIES,
+        outputMode="Append",
+        timeMode="None" if wait_ms is None else "ProcessingTime",
+    )
