@@ -32,9 +32,11 @@ _PAIRED = r"\\\\|\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}"
 _SURROGATE = r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}"
 
 
-# A number that may be beyond a double, and the strings and numbers of a record. A quoted token is
-# never a number to the cast.
+# A number that may be beyond a double has a large exponent or very many digits; the strings and
+# numbers of a record. A quoted token is never a number to the cast.
+_LARGE_EXPONENT = r"[eE][+]?[0-9]{3}"
 _MAYBE_VAST = r"[0-9][eE][+]?0*[0-9]{3}|[0-9]{309}"
+_VAST_DIGITS = 309
 _VALUES = r'"[^"\\]*(?:\\.[^"\\]*)*"|-?[0-9][-+.0-9eE]*'
 
 
@@ -65,42 +67,49 @@ def might_start_json(part: Column) -> Column:
     return F.coalesce(part.rlike(r'^\{(?U:\s)*"'), F.lit(False))
 
 
+def _mark(part: Column) -> Column:
+    """The value of the end marker. Its name holds a character that a record can only have as an
+    escape, so only a record with such an escape could fake it and needs a value of its own."""
+    faked = F.contains(part, F.lit("\\u001"))
+    return F.when(faked, F.xxhash64(part).cast("string")).otherwise(F.lit("0"))
+
+
 def read_fields(part: Column) -> Column:
     """Top-level members of ``part`` as text, with the end marker if the text is well formed."""
     inside = F.substring(part.cast("binary"), F.lit(1), F.octet_length(part) - 1).cast("string")
-    marked = F.concat(
-        inside, F.lit(f',"{_END_KEY_JSON}":'), F.xxhash64(part).cast("string"), F.lit("}")
-    )
+    marked = F.concat(inside, F.lit(f',"{_END_KEY_JSON}":'), _mark(part), F.lit("}"))
     return F.when(
         F.endswith(part, F.lit("}")), F.from_json(marked, FIELDS_TYPE, STRICT_JSON)
     )
 
 
+def _holds_vast(part: Column) -> Column:
+    """Whether a number of the record is beyond a double; the whole look is rarely needed."""
+    may = part.rlike(_LARGE_EXPONENT) | (F.octet_length(part) > _VAST_DIGITS)
+    return F.when(
+        may & part.rlike(_MAYBE_VAST),
+        F.exists(
+            F.regexp_extract_all(part, F.lit(_VALUES), F.lit(0)),
+            lambda token: F.coalesce(F.abs(token.try_cast("double")) == float("inf"), F.lit(False)),
+        ),
+    ).otherwise(F.lit(False))
+
+
 def checked_fields(part: Column, members: Column) -> Column:
     """The result of :func:`read_fields` if the end marker proves it, else null.
 
     Of equal keys the last is kept. The marker stays in the map and is removed with the roles.
     """
-    proven = F.try_element_at(members, F.lit(END_KEY)) == F.xxhash64(part).cast("string")
-    names = F.map_keys(members)
-    repeated = F.size(F.array_distinct(names)) < F.size(names)
+    proven = (F.try_element_at(F.map_keys(members), F.lit(-1)) == END_KEY) & (
+        F.try_element_at(F.map_values(members), F.lit(-1)) == _mark(part)
+    )
     last_wins = F.map_from_entries(F.map_entries(members))
     empty = part.rlike(r"^\{[ \t\n\r]*\}$")
     escapes = F.contains(part, F.lit("\\ud")) | F.contains(part, F.lit("\\uD"))
     lone = F.regexp_replace(part, _PAIRED, "").rlike(_SURROGATE)
-    vast = F.when(
-        part.rlike(_MAYBE_VAST),
-        F.exists(
-            F.regexp_extract_all(part, F.lit(_VALUES), F.lit(0)),
-            lambda token: F.coalesce(
-                F.abs(token.try_cast("double")) == float("inf"), F.lit(False)
-            ),
-        ),
-    ).otherwise(F.lit(False))
     unpaired = F.when(escapes, lone).otherwise(F.lit(False))
-    return (
-        F.when(proven & ~unpaired & ~vast, F.when(repeated, last_wins).otherwise(members))
-        .when(empty, F.from_json(F.lit("{}"), FIELDS_TYPE))
+    return F.when(proven & ~unpaired & ~_holds_vast(part), last_wins).when(
+        empty, F.from_json(F.lit("{}"), FIELDS_TYPE)
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,33 +37,25 @@ def matched_key(members: Column, names: tuple[str, ...]) -> Column:
     return F.get(present_names(members, list(names)), 0)
 
 
-def all_names(options: LogOptions) -> list[str]:
-    """The names of all roles, each role's in its order of priority."""
-    return list(dict.fromkeys(name for role in ROLES for name in options.keys_of(role)))
-
-
-def role_keys(present: Column, options: LogOptions) -> dict[str, Column]:
-    """Role -> the key it consumes, out of the names present in the record.
+def role_keys(members: Column, options: LogOptions) -> dict[str, Column]:
+    """Role -> the key it consumes: the first of its names that is a key of the record.
 
     Roles take their key in the fixed order of ``ROLES``; one that an earlier role may have
     taken (only custom keys overlap) is passed over where it was.
     """
     keys: dict[str, Column] = {}
     for role in ROLES:
-        names = options.keys_of(role)
-        rivals = [keys[r] for r in keys if set(options.keys_of(r)) & set(names)]
-        keys[role] = F.get(F.filter(present, partial(_free, list(names), rivals)), 0)
+        chain = F
+        for name in options.keys_of(role):
+            there = F.map_contains_key(members, F.lit(name))
+            for rival, key in keys.items():
+                if name in options.keys_of(rival):
+                    there = there & ~key.eqNullSafe(F.lit(name))
+            chain = chain.when(there, F.lit(name))
+        keys[role] = chain
     return keys
 
 
-def _free(names: list[str], rivals: list[Column], name: Column) -> Column:
-    """Whether ``name`` is wanted and not taken by a rival."""
-    wanted = F.array_contains(_constant(names), name)
-    for rival in rivals:
-        wanted = wanted & ~name.eqNullSafe(rival)
-    return wanted
-
-
 def consumed_keys(keys: list[Column]) -> Column:
     """The consumed keys and the gate's end marker as one array without nulls."""
     marker = F.lit(END_KEY)

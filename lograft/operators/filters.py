@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lograft.functions.patterns import has_multi_line_flag, required_texts
+from lograft.operators.parse import PARSED
 from lograft.options import LogOptions, OptionError
 from lograft.session import prepare_session
 from lograft.tables import LEVEL_NUMBERS
@@ -22,7 +24,7 @@ def jvm_pattern(pattern: str) -> str:
 
     ``$`` is the very end, not also the place before a final line end, unless it is multi-line.
     """
-    if not re.search(r"\(\?[a-zA-Z]*m", pattern):
+    if not has_multi_line_flag(pattern):
         pattern = re.sub(_DOLLAR, lambda m: m[1] or r"\z", pattern)
     return f"(?dU){pattern}"
 
@@ -70,9 +72,38 @@ def _computed(logs: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return logs.select(*rest, handed).select(*[F.col(f"`{c}`") for c in logs.columns])
 
 
+def may_match(line: Column, pattern: str) -> Column | None:
+    """Whether a line as it was read may match, told without reading its record; None where the
+    pattern requires no text.
+
+    What is searched is the line itself, or values out of it. A run of letters in a value stands in
+    the line as it is, unless the line has escapes.
+    """
+    wanted = required_texts(pattern)
+    if not wanted:
+        return None
+    may = F.contains(line, F.lit("\\"))
+    for text in sorted(wanted):
+        may = may | F.contains(line, F.lit(text))
+    return may
+
+
+def _parsed_column(logs: DataFrame) -> str | None:
+    """The column the log table was read from, if it is still there."""
+    return next((f.name for f in logs.schema.fields if f.metadata.get(PARSED)), None)
+
+
 def filter_logs(logs: DataFrame, options: LogOptions) -> DataFrame:
-    """Minimum level, then pattern, then records only if the output is JSON."""
+    """Minimum level, then pattern, then records only if the output is JSON.
+
+    Lines that cannot match the pattern go before their records are read. The level has no such
+    test: a line that is no record passes it, which only reading tells.
+    """
     prepare_session(logs.sparkSession)
+    column = _parsed_column(logs) if options.grep is not None else None
+    if column:
+        may = may_match(F.col(f"`{column}`"), options.grep)
+        logs = logs if may is None else logs.filter(may)
     if options.min_level_number is not None:
         logs = logs.filter(at_least(F.col("level_num"), options.min_level_number))
     if options.grep is not None:

@@ -28,7 +28,7 @@ from pyspark.sql import Window
 
 from lograft.functions import classify
 from lograft.functions.reassembly import Line, shipped, walk
-from lograft.operators.parse import _PART, classified
+from lograft.operators.parse import _PART, sorted_lines
 from lograft.options import LogOptions
 from lograft.session import prepare_session
 from lograft.sources.order import counts_before
@@ -49,9 +49,9 @@ def _starter() -> Column:
     return (F.col("kind") == "raw") & classify.might_start_json(F.col(_PART))
 
 
-def starters(lines: DataFrame, options: LogOptions) -> DataFrame:
+def starters(lines: DataFrame) -> DataFrame:
     """``lines`` (with a column ``line``) and whether each is a ``starter``."""
-    return classified(lines, "line", options).select(
+    return sorted_lines(lines, "line").select(
         *lines.columns, F.coalesce(_starter(), F.lit(False)).alias("starter")
     )
 
@@ -274,7 +274,7 @@ def reassemble_lines(
     out = ["source", "line_no", "line", "n_lines"]
     if placed:
         out.append((F.col("line_no") + F.col("offset")).alias("position"))
-    flagged = starters(lines, options)
+    flagged = starters(lines)
     single = lines.where(F.col("line").isNotNull()).withColumn("n_lines", F.lit(1))
 
     # The starters are few next to the lines. Written out, their size is known, so that Spark

@@ -21,12 +21,15 @@ LOG_COLUMNS = (
     "error", "extra", "extra_text", "raw_json", "parse_error", "ts_text", "raw_text",
 )
 
+# Metadata of the column the log table was read from.
+PARSED = "lograft.parsed"
+
 # Working columns, all dropped at the end.
 _PART, _BEFORE, _FIRST, _FIRST_OK, _FIXED, _SECOND = (
     "_part", "_before", "_first", "_first_ok", "_fixed", "_second",
 )
-_MEMBERS, _RECORD, _PRESENT, _KEYS, _CONSUMED, _LEVEL_TEXT, _TS_TEXT = (
-    "_members", "_record", "_present", "_keys", "_consumed", "_level_text", "_ts_text",
+_MEMBERS, _RECORD, _KEYS, _CONSUMED, _LEVEL_TEXT, _TS_TEXT = (
+    "_members", "_record", "_keys", "_consumed", "_level_text", "_ts_text",
 )
 
 
@@ -68,7 +71,7 @@ def _build(column: str, options: LogOptions) -> SimpleNamespace:
         F.col(_FIXED).isNotNull(), classify.checked_fields(F.col(_FIXED), F.col(_SECOND))
     )
     chosen = F.when(F.col(_FIRST_OK).isNotNull(), part).otherwise(F.col(_FIXED))
-    keys = fields.role_keys(F.col(_PRESENT), options)
+    keys = fields.role_keys(members, options)
     # One column per key: a struct would be taken apart again, its parts repeated where used.
     found_key = {role: F.col(f"_{role}_key") for role in keys}
     key_of = {role: F.col(_KEYS)[role] for role in keys}
@@ -101,7 +104,6 @@ def _build(column: str, options: LogOptions) -> SimpleNamespace:
         second=classify.read_fields(F.col(_FIXED)).alias(_SECOND),
         members=F.coalesce(F.col(_FIRST_OK), repaired).alias(_MEMBERS),
         record=chosen.alias(_RECORD),
-        present=fields.present_names(members, fields.all_names(options)).alias(_PRESENT),
         keys=[key.alias(f"_{role}_key") for role, key in keys.items()],
         consumed=fields.consumed_keys(list(found_key.values())).alias(_CONSUMED),
         typed_texts=[
@@ -142,6 +144,27 @@ def _build(column: str, options: LogOptions) -> SimpleNamespace:
     )
 
 
+def _gated(lines: DataFrame, made: SimpleNamespace) -> DataFrame:
+    """The lines with the text their record may be in and what the gate made of it."""
+    own = _own(lines)
+    return (
+        lines.select(*own, *made.cut)
+        .select("*", made.first)
+        .select(*own, _PART, _BEFORE, made.first_ok)
+        .select("*", made.fixed)
+        .select("*", made.second)
+        .select(*own, _PART, _BEFORE, made.members, made.record)
+    )
+
+
+def sorted_lines(lines: DataFrame, column: str) -> DataFrame:
+    """The lines with ``kind``, ``prefix``, ``raw_json``, ``parse_error`` and the possible record,
+    without looking at its members."""
+    prepare_session(lines.sparkSession)
+    made = _columns(column, LogOptions())
+    return _gated(lines, made).select(*_own(lines), *made.line, _PART)
+
+
 def classified(lines: DataFrame, column: str, options: LogOptions) -> DataFrame:
     """The lines with the members of their record, the keys of its roles and what they use up.
 
@@ -153,13 +176,7 @@ def classified(lines: DataFrame, column: str, options: LogOptions) -> DataFrame:
     made = _columns(column, options)
     own = _own(lines)
     return (
-        lines.select(*own, *made.cut)
-        .select("*", made.first)
-        .select(*own, _PART, _BEFORE, made.first_ok)
-        .select("*", made.fixed)
-        .select("*", made.second)
-        .select(*own, _PART, _BEFORE, made.members, made.record)
-        .select("*", made.present)
+        _gated(lines, made)
         .select("*", *made.keys)
         .select("*", *made.typed_texts)
         .select("*", made.consumed, made.level)
@@ -219,15 +236,21 @@ def parse_logs(
         classified(lines, column, options)
         .select("*", made.read)
         .select("*", *made.found)
-        .select(*_own(lines), *made.table)
+        .select(*_marked(lines, column), *made.table)
     )
 
 
+def _marked(lines: DataFrame, column: str) -> list[Column]:
+    """The caller's columns; the one that was parsed is marked in its metadata."""
+    return [
+        F.col(f"`{name}`").alias(name, metadata={PARSED: True}) if name == column else F.col(f"`{name}`")
+        for name in lines.columns
+    ]
+
+
 def classify_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     """``kind``, ``prefix``, ``raw_json`` and ``parse_error`` only."""
-    return classified(lines, column, LogOptions()).select(
-        *_own(lines), "kind", "prefix", "raw_json", "parse_error"
-    )
+    return sorted_lines(lines, column).drop(_PART)
 
 
 def with_matched_alias(

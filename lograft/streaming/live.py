@@ -243,7 +243,7 @@ def reassemble_stream(
     spark = lines.sparkSession
     if spark.conf.get(_PROVIDER, None) != _ROCKS:
         spark.conf.set(_PROVIDER, _ROCKS)
-    flagged = starters(lines.select("source", "line_no", "line"), options)
+    flagged = starters(lines.select("source", "line_no", "line"))
     return flagged.groupBy("source").transformWithStateInPandas(
         statefulProcessor=Reassembler(options.max_continuation_lines, wait_ms),
         outputStructType=_ENTRIES,

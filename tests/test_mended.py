@@ -83,3 +83,15 @@ def test_numbers_in_arrays(spark):
     df = spark.createDataFrame([('{"a":[1.0,{"k":2,"b":1e10}],"s":["1e10",-0.0]}',)], "line string")
     text = parse_logs(df).first().extra_text
     assert text == {"a": '[1.0,{"b":10000000000.0,"k":2}]', "s": '["1e10",-0.0]'}
+
+
+def test_the_end_marker_cannot_be_faked(spark):
+    cases = {
+        '{"a":1,"\\u001fend":0} junk}': "raw", '{"a":1,"\\u001fend":"0"}, {"b":1}': "raw",
+        '{"a":1,"\\u001fend":0}': "json", '{"a":1,"a":2}': "json", '{"a":"\\u001f"}': "json",
+        '{"\\u001F\\u0065nd":0}}': "raw", '{"a":1}}': "raw", '{"a":1},{"b":2}': "raw",
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "line string")
+    logs = parse_logs(df)
+    assert {r.line: r.kind for r in logs.collect()} == cases
+    assert logs.filter("line like '%\"a\":2%'").first().extra_text == {"a": "2"}
