@@ -323,18 +323,25 @@ def _listed(bucket: pa.Table) -> pa.Table:
     members, sids, sizes, left = members[order], sids[order], sizes[order], left[order]
     if len(members) == 0:
         return columns([], [I64, I64, pa.bool_()], ["u", "v", "star"])
-    # A list ends with its member, or where all later sets are too large for all earlier ones.
-    cut = (members[1:] != members[:-1]) | (DEN * sizes[:-1] < NUM * sizes[1:])
-    starts = np.concatenate([[0], np.flatnonzero(cut) + 1])
-    lengths = np.diff(np.concatenate([starts, [len(members)]]))
+    lists, lengths = _cut_lists(members, sizes)
+    # What a partner may have at most: beyond, too much lies before the shared member. In a long
+    # list, an entry that could not even meet its own size pairs with smaller ones only, and with
+    # none of its kind.
+    cap = (NUM + DEN) * left // NUM - sizes
+    weak = (lengths > SHORT)[lists] & (cap < sizes)
+    strong = np.flatnonzero(~weak)
     us, vs = [], []
+    heads = _weak_entries(np.flatnonzero(weak), strong, lists, sids, sizes, cap, us, vs)
+    sids, sizes, left, lists = sids[strong], sizes[strong], left[strong], lists[strong]
+    runs, lengths = _cut_lists(lists, sizes)
+    starts = np.cumsum(lengths) - lengths
     for gap in range(1, SHORT):
         # Pairs ``gap`` apart in lists that are short: one block of comparisons at a time.
-        lists = np.flatnonzero((lengths > gap) & (lengths <= SHORT))
-        if len(lists) == 0:
+        short = np.flatnonzero((lengths > gap) & (lengths <= SHORT))
+        if len(short) == 0:
             break
-        n = lengths[lists] - gap
-        i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[lists], n)
+        n = lengths[short] - gap
+        i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[short], n)
         j = i + gap
         both = sizes[i] + sizes[j]
         most = np.minimum(left[i], left[j])
@@ -344,10 +351,14 @@ def _listed(bucket: pa.Table) -> pa.Table:
     pairs = np.zeros((0, 2), np.int64)
     if us:
         pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], 1), axis=0)
-    long = np.flatnonzero(lengths > SHORT)
-    head = np.repeat(sids[starts[long]], lengths[long])
-    own = np.concatenate([sids[starts[k] : starts[k] + lengths[k]] for k in long] or [sids[:0]])
-    stars = np.unique(np.stack([own, head], 1), axis=0)
+    long = (lengths > SHORT)[runs]
+    own = np.concatenate([sids[long], heads[0]])
+    # An entry that can meet many belongs to the star of their run, short or long.
+    joined = np.unique(runs[heads[1]])
+    also = np.isin(runs, joined) & ~long
+    own = np.concatenate([own, sids[also]])
+    center = sids[starts[np.concatenate([runs[long], runs[heads[1]], runs[also]])]]
+    stars = np.unique(np.stack([own, center], 1), axis=0)
     both = np.concatenate([pairs, stars])
     star = np.arange(len(both)) >= len(pairs)
     return pa.table(
@@ -355,6 +366,49 @@ def _listed(bucket: pa.Table) -> pa.Table:
     )
 
 
+def _cut_lists(key: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each entry's list, and the lists' lengths: a list ends with its key, or where
+    all later sets are too large for all earlier ones."""
+    if len(key) == 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cut = (key[1:] != key[:-1]) | (DEN * sizes[:-1] < NUM * sizes[1:])
+    lists = np.concatenate([[0], np.cumsum(cut)])
+    return lists, np.bincount(lists)
+
+
+def _weak_entries(
+    weak: np.ndarray, strong: np.ndarray, lists: np.ndarray, sids: np.ndarray, sizes: np.ndarray,
+    cap: np.ndarray, us: list, vs: list,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Partners of entries that can pair with smaller ones only: pairs go to ``us`` and ``vs``;
+    returned are the sets that may have more than SHORT, and a partner's place in ``strong``."""
+    wide = np.int64(1 << 32)
+    key = lists[strong] * wide + sizes[strong]
+    least = -(-NUM * sizes[weak] // DEN)
+    low = np.searchsorted(key, lists[weak] * wide + least, side="left")
+    high = np.searchsorted(key, lists[weak] * wide + np.maximum(cap[weak], 0), side="right")
+    many = high - low
+    few = (many > 0) & (many <= SHORT)
+    n = many[few]
+    i = np.repeat(weak[few], n)
+    j = strong[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[few], n)]
+    fits = (cap[j] >= sizes[i]) & (sids[i] != sids[j])
+    us.append(np.minimum(sids[i], sids[j])[fits])
+    vs.append(np.maximum(sids[i], sids[j])[fits])
+    more = np.flatnonzero(many > SHORT)
+    # The largest partner that any in reach allows, by doubling.
+    table, tops = cap[strong], np.full(len(more), np.iinfo(np.int64).min)
+    width, step = many[more], 1
+    while len(more) and step <= int(width.max()):
+        here = (width >= step) & (width < 2 * step)
+        at = more[here]
+        tops[here] = np.maximum(table[low[at]], table[high[at] - step])
+        table = np.maximum(table[:-step], table[step:]) if len(table) > step else table
+        step *= 2
+    more = more[tops >= sizes[weak[more]]]
+    return sids[weak[more]], low[more]
+
+
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar."""
     left = sets.select(F.col("sid").alias("u"), F.col("members").alias("mu"))
@@ -420,9 +474,11 @@ def _joined_block(block: pa.Table) -> pa.Table:
 def block_links(parts: list[np.ndarray], label: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect every two similar sets of a block.
 
-    A set's overlaps with all others come from the lists of its members. They are not computed
-    where they cannot add a link: once all sets are connected, or where a computed set p is so much
-    like this set x that overlap(p, y) + |x without p| is too small for every y not yet connected.
+    A set's overlaps with all others come from the lists of its members, or from the overlaps of a
+    computed set p it has much in common with: less the lists of p's other members, plus those of its
+    own. They are not computed where they cannot add a link: once all sets are connected, or where
+    p is so much like this set x that overlap(p, y) + |x without p| is too small for every y not yet
+    connected.
     """
     k = len(parts)
     sizes = np.array([len(p) for p in parts])
@@ -435,22 +491,37 @@ def block_links(parts: list[np.ndarray], label: np.ndarray | None = None) -> lis
     ends = np.cumsum(sizes)
     group = np.arange(k) if label is None else label.copy()
     links: list[tuple[int, int]] = []
-    known: list[np.ndarray] = []
+    known: list[tuple[int, np.ndarray]] = []
+
+    def members_of(x: int) -> np.ndarray:
+        return member[ends[x] - sizes[x] : ends[x]]
+
+    def met_by(own: np.ndarray) -> np.ndarray:
+        """How many of these members each set of the block has."""
+        n = width[own]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[own], n)
+        return np.bincount(listed[at], minlength=k)
+
     for x in range(k):
         if (group == group[0]).all():
             break
         other = group != group[x]
         needed = NUM * (sizes + sizes[x])
-        nearest = max(known, key=lambda ov: ov[x], default=None)
+        near, nearest = max(known, key=lambda held_: held_[1][x], default=(None, None))
         if nearest is not None:
             bound = nearest + (sizes[x] - nearest[x])
             if not ((NUM + DEN) * bound >= needed)[other].any():
                 continue
-        own = member[ends[x] - sizes[x] : ends[x]]
-        n = width[own]
-        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[own], n)
-        overlap = np.bincount(listed[at], minlength=k)
-        known = [*known[-15:], overlap]
+        own = members_of(x)
+        overlap = None
+        if nearest is not None and 2 * nearest[x] > sizes[near]:
+            # Only the members in which the two sets differ change the answers.
+            theirs = members_of(near)
+            gone, new = theirs[~held(theirs, own)], own[~held(own, theirs)]
+            overlap = nearest - met_by(gone) + met_by(new)
+        else:
+            overlap = met_by(own)
+        known = [*known[-15:], (x, overlap)]
         for y in np.flatnonzero(other & ((NUM + DEN) * overlap >= needed)).tolist():
             if group[y] != group[x]:
                 links.append((x, y))

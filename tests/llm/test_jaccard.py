@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import lograft.llm.jaccard as jaccard
 from lograft.llm.graph import components
-from lograft.llm.jaccard import block_links, similar_classes
+from lograft.llm.jaccard import _listed, block_links, similar_classes
 
 SCHEMA = "doc_id long, text string"
 
@@ -117,3 +118,66 @@ def test_components(spark):
     got = dict(components(links).collect())
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 102: 100}
     assert components(links.limit(0)).count() == 0
+
+
+def template_family(n, shared=86, own=18, sizes=(0,)):
+    """Documents that share a frame and nothing else; some with less of their own."""
+    frame = " ".join(f"frame{i}" for i in range(shared))
+    return [
+        (i, frame + "".join(f" own{i}x{j}" for j in range(own - sizes[i % len(sizes)])))
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("sizes", [(0,), (0, 1, 2, 3, 9, 17), tuple(range(19)), (0, 0, 0, 0, 18)])
+def test_families_on_a_frame_against_brute_force(spark, sizes):
+    rows = template_family(150, 40, 18, sizes)
+    rng = np.random.default_rng(3)
+    rows += [(1000 + i, t + " tail" * int(rng.integers(0, 3))) for i, t in rows[::7]]
+    got = similar_classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+
+
+def test_a_family_on_a_frame_gives_no_stars():
+    """Their shared members stand so late that no two of them can be similar."""
+    n = 5000
+    members = np.repeat(np.arange(3, dtype=np.uint64), n)
+    sids = np.tile(np.arange(n, dtype=np.int64), 3)
+    places = np.repeat(np.array([18, 19, 20], np.uint32), n)
+    table = pa.table(
+        [pa.array([x.tobytes()]) for x in (members, sids, np.full(3 * n, 100, np.uint32), places)],
+        names=["members", "sids", "sizes", "places"],
+    )
+    assert len(_listed(table)) == 0
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_lists_lose_no_pair_that_fits(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(65, 400))
+    sizes = rng.integers(60, 131, n)
+    places = (rng.random(n) * 0.2 * sizes).astype(int)
+    parts = [np.zeros(n, np.uint64), np.arange(n, dtype=np.int64), sizes.astype(np.uint32),
+             places.astype(np.uint32)]
+    table = pa.table(
+        [pa.array([x.tobytes()]) for x in parts], names=["members", "sids", "sizes", "places"]
+    )
+    found = _listed(table).to_pydict()
+    pairs, group = set(), list(range(n))
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for u, v, star in zip(*found.values(), strict=True):
+        if star:
+            group[root(u)] = root(v)
+        else:
+            pairs.add((u, v))
+    left = sizes - places
+    for i in range(n):
+        for j in range(i + 1, n):
+            small, large = sorted((int(sizes[i]), int(sizes[j])))
+            fits = 5 * small >= 4 * large and 9 * min(left[i], left[j]) >= 4 * (small + large)
+            assert not fits or (i, j) in pairs or root(i) == root(j)
