@@ -150,8 +150,12 @@ def with_quality(
 
     All rows and columns stay; there is no shuffle and no user function. ``base_failed``: under 20
     words, or over 30 % of them in repeated 8-word windows. ``kept``: not failed and no rule broken.
-    A null text is measured as the empty one, and fails.
+    A null text is measured as the empty one, and fails. Texts are measured whole, however long;
+    repeated rows are each measured; an empty table gives none. A column ``out`` that is there
+    already is an error.
     """
+    if out.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {out} already")
     held = free_name(docs, "_measures")
     found = measures(docs[text_col])
     # A one-element generator: a filter on the verdict would otherwise go below the projection, with

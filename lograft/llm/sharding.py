@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lograft.llm.common import free_name
+from lograft.sources.shared import kept
 
 #: Slots are numbered per shard and block; blocks are leading bits of the key's digest. A shard of
 #: n rows is sorted in pieces of about n / BLOCKS rows.
 BLOCK_HEX = 3
 BLOCKS = 16**BLOCK_HEX
+#: A block this much above four times the average is looked at for keys with very many rows.
+CROWDED = 100_000
 
 
 def _unit(key: Column, shard: int) -> Column:
@@ -59,22 +62,44 @@ def number_slots(
 
     A shard, however large, is not sorted in one task: rows are numbered within (shard, leading
     digits of the digest), and the blocks' counts, at most shards x 4096 rows, give each block its
-    first slot. Rows of one key follow each other by the columns ``then``, or in any order.
+    first slot. Rows of one key follow each other by a digest of the columns ``then``. Keys that
+    make a block crowded and have a thousandth of all rows, at most a thousand, are parted by that
+    digest, so that rows without a key of their own are no single task either.
     """
-    digest, block, at, start = (free_name(frame, n) for n in ("_digest", "_block", "_at", "_start"))
-    keyed = frame.withColumn(digest, F.md5(shard_key(frame[key_col])))
+    names = ("_digest", "_block", "_at", "_start", "_part", "_segment", "_hot")
+    digest, block, at, start, part, segment, hot = (free_name(frame, n) for n in names)
+    told = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in then])
+    keyed = frame.withColumn(digest, F.md5(shard_key(frame[key_col]))).withColumn(
+        part, F.substring(F.md5(told), 1, 2) if then else F.lit("")
+    )
     keyed = keyed.withColumn(block, F.substring(digest, 1, BLOCK_HEX))
-    counts = keyed.groupBy(shard_col, block).agg(F.count(F.lit(1)).alias(at))
-    before = Window.partitionBy(shard_col).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(
-        shard_col, block, F.coalesce(F.sum(at).over(before), F.lit(0)).alias(start)
+    counts = kept(keyed.groupBy(shard_col, block).agg(F.count(F.lit(1)).alias(at)))
+    own = [shard_col, block]
+    total, most, mean = counts.agg(F.sum(at), F.max(at), F.avg(at)).first()
+    if then and total and most > CROWDED + 4 * mean:
+        crowded = counts.where(F.col(at) > CROWDED + 4 * mean).select(shard_col, block)
+        often = keyed.join(crowded, own, "left_semi").groupBy(block, digest).count()
+        often = often.where(F.col("count") * 1000 >= total).groupBy(block)
+        hot_keys = often.agg(F.sort_array(F.collect_set(digest)).alias(hot))
+        keyed = keyed.join(F.broadcast(hot_keys), block, "left")
+        known = F.coalesce(F.array_contains(hot, F.col(digest)), F.lit(False))
+        lower = F.coalesce(F.size(F.filter(hot, lambda h: h < F.col(digest))), F.lit(0))
+        # Only a hot key's rows are in parts of their own.
+        parted = F.when(known, F.col(part)).otherwise("")
+        keyed = keyed.withColumns({segment: 2 * lower + known.cast("int"), start: parted})
+        keyed = keyed.drop(hot).withColumnRenamed(start, hot)
+        own += [segment, hot]
+        counts = kept(keyed.groupBy(own).agg(F.count(F.lit(1)).alias(at)))
+    before = Window.partitionBy(shard_col).orderBy(own[1:]).rowsBetween(
+        Window.unboundedPreceding, -1
     )
-    inside = Window.partitionBy(shard_col, block).orderBy(digest, *then)
+    starts = counts.select(*own, F.coalesce(F.sum(at).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy(own).orderBy(digest, part, *then)
     return (
         keyed.withColumn(at, F.row_number().over(inside))
-        .join(counts, [shard_col, block])
+        .join(starts, own)
         .withColumn(slot_col, (F.col(at) + F.col(start) - 1).cast("long"))
-        .drop(digest, block, at, start)
+        .drop(digest, block, at, start, part, segment, hot)
     )
 
 
@@ -103,7 +128,7 @@ def shard_documents(
         rendezvous(key, weights).alias("shard"),
         rendezvous(key, [*weights, 1.0]).alias("grown_shard"),
     )
-    slots = number_slots(placed, "shard", "doc_id", "slot")
+    slots = number_slots(placed, "shard", "doc_id", "slot", ("text_crc32", "size"))
     return slots.select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )

@@ -131,8 +131,8 @@ def top_k(
     tile skips is proven too small, so results are exact. Vectors that are null, or hold a null or
     a number that is not finite, take no part; a query never finds rows with its own id; vectors of
     another length than the query's are not candidates. Rows with a null id take no part. Scores
-    beyond a long are cut to its range. Repeated query rows give one answer; repeated vectors with
-    one id are one candidate. Empty tables give no rows.
+    beyond a long are cut to its range. Repeated query rows give one answer; of vectors with
+    one id the smallest counts. Empty tables give no rows.
     """
     ship(queries.sparkSession)
 
@@ -140,7 +140,7 @@ def top_k(
         read = frame.select(
             frame[id_col].cast("long").alias("id"), quantized(frame[vector_col], scale).alias("v")
         )
-        read = read.where("id is not null and v is not null").dropDuplicates(["id"])
+        read = read.where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
         return read.withColumn("d", F.size("v"))
 
     def tiles(n: int, size: int) -> int:

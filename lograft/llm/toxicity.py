@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lograft.llm.common import id_and_text, ship
+from lograft.sources.shared import kept
 
 #: Labelled rows that take part in learning: those with the smallest hashes of their identifiers.
 MAX_LABELLED = 100_000
@@ -181,6 +182,11 @@ class Matcher:
         return False
 
 
+def decoded(word: bytes) -> str:
+    """Bytes that are no UTF-8 are replaced."""
+    return word.decode("utf-8", "replace")
+
+
 def plain_word(raw: str) -> str:
     return raw.lower().strip(MARKS)
 
@@ -204,7 +210,7 @@ class Reader:
                 known.clear()
             for w in words:
                 if w not in known:
-                    known[w] = self.matcher.match(plain_word(w.decode("utf-8")))
+                    known[w] = self.matcher.match(plain_word(decoded(w)))
             any_hit = any(map(known.__getitem__, words))
         out = np.zeros(self.WIDTH)
         out[0] = 1
@@ -225,7 +231,7 @@ class Reader:
         """1 where a term stands between quotation marks and its window speaks about wording."""
         out = []
         for i in hits:
-            near = [w.decode("utf-8") for w in words[max(0, i - CONTEXT) : i + CONTEXT + 1]]
+            near = [decoded(w) for w in words[max(0, i - CONTEXT) : i + CONTEXT + 1]]
             at = min(i, CONTEXT)
             before = sum(c in QUOTES for w in near[:at] for c in w)
             before += sum(c in QUOTES for c in near[at][: len(near[at]) // 2])
@@ -280,7 +286,7 @@ class Units:
         for raw in set(text.split()):
             mine = known.get(raw)
             if mine is None:
-                every = units(plain_word(raw.decode("utf-8")))
+                every = units(plain_word(decoded(raw)))
                 if self.wanted is not None:
                     every = [u for u in every if u in self.wanted]
                 mine = known[raw] = tuple(every)
@@ -289,13 +295,17 @@ class Units:
         return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> Model:
+def learn(
+    docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", max_terms: int = MAX_TERMS
+) -> Model:
     """A model from the labelled rows that are not held out.
 
     Learning takes the labelled rows with the smallest hashes of their identifiers, at most
     ``MAX_LABELLED`` (a bounded table, so it is broadcast to the texts), and fits the coefficients
     on at most ``MAX_FITTED`` of them. Terms are words and stems that distinct toxic texts
-    have at least 20 times as often as the others. Without a toxic or a clean row every score is below 0.5.
+    have at least 20 times as often as the others; of more than ``max_terms`` those count that are
+    most telling (ratio times frequency). A whole word counts with 3 to 24 letters, a longer run
+    without spaces by its first 4 to 6 letters only. Without a toxic or a clean row every score is below 0.5.
     """
     ship(docs.sparkSession)
     order = F.xxhash64("doc_id")
@@ -310,7 +320,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
         .orderBy(order, "doc_id")
         .limit(MAX_LABELLED)
     )
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(marked), "doc_id")
+    # At most MAX_LABELLED rows and those that repeat their identifiers, written once.
+    marked = kept(marked)
+    rows = kept(id_and_text(docs, id_col, text_col).join(F.broadcast(marked), "doc_id"))
     # Copies say nothing new, so a text counts once in each class.
     texts = rows.select((F.col("toxic") != 0).alias("toxic"), "text").distinct()
     numbers = texts.groupBy("toxic").count().collect()
@@ -327,7 +339,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
     ratio = {u: n / toxic / ((against.get(u, 0) + 0.5) / clean) for u, n in candidates.items()}
     telling = sorted(
         (u for u in ratio if ratio[u] >= 20), key=lambda u: (-ratio[u] * candidates[u], u)
-    )[:MAX_TERMS]
+    )[:max_terms]
     weights: dict[str, float] = {}
     for u in sorted(telling, key=lambda u: (len(u), u)):
         if u.endswith("*") and any(u[:n] + "*" in weights for n in STEM_LENGTHS if n < len(u) - 1):
