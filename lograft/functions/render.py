@@ -138,7 +138,7 @@ def raw_text(options: LogOptions) -> Column:
     if not options.verbose:
         return line
     problem = F.col("parse_error")
-    # Spark's parser names no position: the brackets are left out with it.
+    # What offends beyond the bytes, such as a number too large, has no position.
     place = F.concat(
         F.lit("["), problem["line"].cast("string"), F.lit(":"), problem["column"].cast("string"),
         F.lit("] "),

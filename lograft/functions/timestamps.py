@@ -124,9 +124,63 @@ def display_zone(timezone: str) -> str:
     return session._jvm.java.util.TimeZone.getDefault().getID() if session else "UTC"
 
 
+# Directives that stand for others.
+_SHORT_FOR = {
+    "%c": "%a %b %e %T %Y", "%x": "%D", "%X": "%T", "%r": "%I:%M:%S %p", "%v": "%e-%b-%Y",
+    "%+": "%FT%T%.f%:z", "%n": "\n", "%t": "\t",
+}
+
 # Directives that no datetime pattern has; their text is made from the instant itself.
-_OWN = {"%z", "%:z", "%Z", "%N", "%9f", "%.9f", "%e", "%s", "%P", "%k", "%l"}
-_PARTS = r"(%(?::z|[.]?[369]f|.))"
+_OWN = {"%z", "%:z", "%::z", "%Z", "%N", "%f", "%9f", "%.9f", "%.f", "%s", "%P"}
+
+# Numbers: width and what fills it. A flag after the % sign fills otherwise: - not, _ with spaces,
+# 0 with zeros.
+_NUMBERS = {
+    "Y": (4, "0"), "C": (2, "0"), "y": (2, "0"), "G": (4, "0"), "g": (2, "0"), "m": (2, "0"),
+    "d": (2, "0"), "e": (2, " "), "j": (3, "0"), "H": (2, "0"), "k": (2, " "), "I": (2, "0"),
+    "l": (2, " "), "M": (2, "0"), "S": (2, "0"), "U": (2, "0"), "W": (2, "0"), "V": (2, "0"),
+    "u": (1, "0"), "w": (1, "0"), "q": (1, "0"),
+}
+_FILL = {"-": "", "_": " ", "0": "0"}
+_PARTS = r"(%(?::{1,2}z|[.]?[369]f|[.]f|[-_0][A-Za-z]|.))"
+
+
+def _is_number(part: str) -> bool:
+    """Whether a directive is a number with a flag, or one that no datetime pattern has."""
+    flagged = len(part) == 3 and part[1] in _FILL and part[2] in _NUMBERS
+    return flagged or len(part) == 2 and part[1] in _NUMBERS and part not in STRFTIME_PATTERNS
+
+
+def _number_text(part: str, local: Column) -> Column:
+    name = part[-1]
+    year, day = F.year(local), F.dayofyear(local) - 1
+    from_sunday, from_monday = F.dayofweek(local) - 1, F.weekday(local)
+    hour12 = (F.hour(local) + 11) % 12 + 1
+    # A week belongs to the year its Thursday is in.
+    iso_year = F.year(F.date_add(F.to_date(local), 3 - from_monday))
+    value = {
+        "Y": lambda: year, "C": lambda: F.floor(year / 100), "y": lambda: F.pmod(year, F.lit(100)),
+        "G": lambda: iso_year, "g": lambda: F.pmod(iso_year, F.lit(100)),
+        "m": lambda: F.month(local), "d": lambda: F.dayofmonth(local),
+        "e": lambda: F.dayofmonth(local), "j": lambda: day + 1, "H": lambda: F.hour(local),
+        "k": lambda: F.hour(local), "I": lambda: hour12, "l": lambda: hour12,
+        "M": lambda: F.minute(local), "S": lambda: F.second(local),
+        "U": lambda: F.floor((day + 7 - from_sunday) / 7),
+        "W": lambda: F.floor((day + 7 - from_monday) / 7), "V": lambda: F.weekofyear(local),
+        "u": lambda: from_monday + 1, "w": lambda: from_sunday, "q": lambda: F.quarter(local),
+    }[name]().cast("string")
+    width, fill = _NUMBERS[name]
+    fill = _FILL[part[1]] if len(part) == 3 else fill
+    # Never cut: a year may have more digits.
+    return F.when(F.length(value) < width, F.lpad(value, width, fill)).otherwise(value) if fill else value
+
+
+def _written_out(strftime: str) -> list[str]:
+    """The format's directives and the text between them; what stands for others written out."""
+    parts: list[str] = []
+    for part in re.split(_PARTS, strftime, flags=re.S):
+        parts += _written_out(_SHORT_FOR[part]) if part in _SHORT_FOR else [part]
+    return parts
 
 
 def _pieces(strftime: str) -> list[tuple[bool, str]]:
@@ -144,8 +198,8 @@ def _pieces(strftime: str) -> list[tuple[bool, str]]:
             pattern.clear()
         literal = ""
 
-    for part in re.split(_PARTS, strftime):
-        if part in _OWN:
+    for part in _written_out(strftime):
+        if part in _OWN or _is_number(part):
             flush()
             pieces.append((True, part))
         elif part.startswith("%") and part not in STRFTIME_PATTERNS:
@@ -209,19 +263,33 @@ def format_timestamp(
     behind = F.lpad(F.coalesce(nanos, F.lit(0)).cast("string"), 3, "0") if nanos is not None else (
         F.lit("000")
     )
-    hour12 = F.regexp_replace(F.date_format(local, "hh"), "^0", " ")
+    digits = F.concat(F.date_format(local, "SSSSSS"), behind)
+    # As many digits as there are, three at a time; none for a whole second.
+    shown = (
+        F.when(digits == "000000000", F.lit(""))
+        .when(F.endswith(digits, F.lit("000000")), F.concat(F.lit("."), F.substring(digits, 1, 3)))
+        .when(F.endswith(digits, F.lit("000")), F.concat(F.lit("."), F.substring(digits, 1, 6)))
+        .otherwise(F.concat(F.lit("."), digits))
+    )
+    seconds = F.lpad((F.abs(offset).cast("bigint") % 60).cast("string"), 2, "0")
     own = {
         "%z": lambda: _offset_text(offset, ""),
         "%:z": lambda: _offset_text(offset, ":"),
         "%Z": lambda: _zone_name(offset, zone),
-        "%N": lambda: F.concat(F.date_format(local, "SSSSSS"), behind),
-        "%9f": lambda: F.concat(F.date_format(local, "SSSSSS"), behind),
-        "%.9f": lambda: F.concat(F.lit("."), F.date_format(local, "SSSSSS"), behind),
-        "%e": lambda: F.lpad(F.dayofmonth(local).cast("string"), 2, " "),
+        "%::z": lambda: F.concat(_offset_text(offset, ":"), F.lit(":"), seconds),
+        "%N": lambda: digits,
+        "%f": lambda: digits,
+        "%9f": lambda: digits,
+        "%.9f": lambda: F.concat(F.lit("."), digits),
+        "%.f": lambda: shown,
         "%s": lambda: F.floor(F.unix_micros(ts) / 1_000_000).cast("bigint").cast("string"),
         "%P": lambda: F.lower(F.date_format(local, "a")),
-        "%k": lambda: F.lpad(F.hour(local).cast("string"), 2, " "),
-        "%l": lambda: hour12,
     }
-    parts = [own[t]() if mine else F.date_format(local, t) for mine, t in _pieces(strftime)]
+
+    def text(mine: bool, part: str) -> Column:
+        if not mine:
+            return F.date_format(local, part)
+        return own[part]() if part in own else _number_text(part, local)
+
+    parts = [text(mine, part) for mine, part in _pieces(strftime)]
     return parts[0] if len(parts) == 1 else F.concat(*parts) if parts else F.lit("")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lograft.functions import classify, fields, levels, repair, timestamps, values
+from lograft.functions.offence import offence
 from lograft.options import LogOptions
 from lograft.session import prepare_session
 from lograft.tables import ROLES
@@ -253,6 +254,18 @@ def classify_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     return sorted_lines(lines, column).drop(_PART)
 
 
+def with_error_positions(logs: DataFrame) -> DataFrame:
+    """``parse_error`` with line and column of the first offence, and what kind it is.
+
+    Works on the log table and on classified lines that kept ``raw_text`` (or ``line``). Raw lines with
+    a brace go through a scan in Python, in Arrow batches; others are not touched.
+    """
+    text = "raw_text" if "raw_text" in logs.columns else "line"
+    failing = F.when(F.col("parse_error").isNotNull(), F.col(text))
+    found = logs.withColumn("_offence", offence(failing))
+    return found.withColumn("parse_error", F.col("_offence")).drop("_offence")
+
+
 def with_matched_alias(
     lines: DataFrame, role: str, column: str = "line", options: LogOptions | None = None
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lograft.functions.render import raw_text, record_text
 from lograft.operators.filters import drop_empty, filter_logs, records_only
-from lograft.operators.parse import parse_logs
+from lograft.operators.parse import parse_logs, with_error_positions
 from lograft.options import LogOptions
 from lograft.session import prepare_session
 
@@ -21,6 +21,8 @@ def render_logs(logs: DataFrame, options: LogOptions | None = None) -> DataFrame
     prepare_session(logs.sparkSession)
     if options.json_output:
         return records_only(logs).withColumn("rendered", F.col("raw_json"))
+    if options.verbose:
+        logs = with_error_positions(logs)
     rendered = F.when(F.col("kind") == "raw", raw_text(options)).otherwise(record_text(options))
     return drop_empty(logs).withColumn("rendered", rendered)
 

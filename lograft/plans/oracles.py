@@ -101,8 +101,17 @@ ORACLES: dict[str, str] = {
         CAST(turn AS VARCHAR) AS turn FROM conversations""",
     "stream_multiline": """SELECT text AS message, CAST(conv_id AS VARCHAR) AS conv,
         CAST(turn AS VARCHAR) AS turn FROM conversations""",
-    "parse_diagnostics": """SELECT event_id,
-        CASE WHEN event_id % 10 = 2 THEN 'invalid JSON' END AS problem FROM events""",
+    "parse_diagnostics": f"""SELECT event_id, CASE event_id % 10
+          WHEN 4 THEN 'invalid JSON: unexpected end' WHEN 5 THEN 'invalid JSON: trailing characters'
+          WHEN 2 THEN 'invalid JSON: unexpected character'
+          WHEN 6 THEN 'invalid JSON: unexpected character'
+          WHEN 7 THEN 'invalid JSON: unexpected character' END AS problem,
+        CAST(CASE WHEN event_id % 10 = 6 THEN 2 WHEN event_id % 10 IN (2, 4, 5, 7) THEN 1 END AS BIGINT)
+          AS at_line,
+        CASE event_id % 10 WHEN 2 THEN length(line) WHEN 4 THEN length(line) - 1
+          WHEN 5 THEN length(line) + 2 WHEN 6 THEN 1 WHEN 7 THEN strpos(line, '"msg":"') + 8 END
+          AS at_column
+        FROM {_MIXED}""",
     "resolve_fields": """SELECT event_id, event_type AS message, 'svc' AS logger,
         'a.go:' || user_id AS caller, CAST(NULL AS VARCHAR) AS error,
         CAST(epoch_us(ts) // 1000000 AS VARCHAR) || '.5' AS ts_text
@@ -177,7 +186,8 @@ ORACLES: dict[str, str] = {
     "render_embedded": f"""SELECT event_id, {_MS_STAMP.format(us='epoch_us(ts)')} ||
         '  ERROR: app-' || user_id || ' |  ' || event_type AS rendered FROM events""",
     "render_mixed": f"""SELECT event_id, CASE event_id % 10
-        WHEN 0 THEN line WHEN 2 THEN line || {_LINE_END} || '  parse error: invalid JSON'
+        WHEN 0 THEN line WHEN 2 THEN line || {_LINE_END} || '  parse error: [1:' || length(line) ||
+          '] invalid JSON: unexpected character'
         WHEN 1 THEN {_SINGLE_PINO.replace(_BADGE, "'     '")}
         ELSE {_SINGLE_PINO} END AS rendered FROM {_MIXED} WHERE event_id % 10 <> 3""",
     "level_badge": f"""SELECT event_id, CASE WHEN {_HAS_LEVEL} THEN {_BADGE} ELSE '     ' END AS badge
@@ -200,6 +210,27 @@ ORACLES: dict[str, str] = {
         lpad(CAST(day(here) AS VARCHAR), 2, ' ') AS shown
         FROM (SELECT event_id, there, timezone('America/New_York', timezone('UTC', there)) AS here
           FROM (SELECT event_id, ts + to_days(CAST(event_id % 365 AS INTEGER)) AS there FROM events))""",
+    "grep_escaped_group": "SELECT doc_id FROM documents WHERE doc_id % 2 = 0",
+    "timezone_local": """SELECT event_id, strftime(here, '%Y-%m-%d %H:%M') ||
+        CASE WHEN date_diff('hour', here, there) = 5 THEN ' -0500' ELSE ' -0400' END AS shown
+        FROM (SELECT event_id, there, timezone('America/New_York', timezone('UTC', there)) AS here
+          FROM (SELECT event_id, ts + to_days(CAST(event_id % 365 AS INTEGER)) AS there FROM events))""",
+    "long_records": f"""SELECT event_id, {_NAME} AS level, event_type AS message, {_PINO_FIELDS} ||
+        ';x=' || CASE WHEN event_id % 2000 = 0 THEN '17000000' ELSE 'aaaaaaaaaa' END AS fields,
+        'BIGINT' AS pid_type FROM events""",
+    "format_timestamp_fraction": """
+        WITH t AS (SELECT event_id, event_id % 4 AS k,
+            make_timestamp((epoch_us(ts) + (event_id % 3000) * 86400000000) // 1000000 * 1000000) AS s
+          FROM events),
+        f AS (SELECT event_id, s, CASE k WHEN 0 THEN '000000000' WHEN 1 THEN '007000000'
+            WHEN 2 THEN '120034000' ELSE '120034005' END AS f,
+            CASE k WHEN 0 THEN '' WHEN 1 THEN '.007' WHEN 2 THEN '.120034' ELSE '.120034005' END AS p
+          FROM t)
+        SELECT event_id, strftime(s, '%S') || p || '|' || f || strftime(s, '|%-d.') ||
+          lpad(strftime(s, '%-m'), 2, ' ') || strftime(s, '.%d|%a %b ') ||
+          lpad(strftime(s, '%-d'), 2, ' ') || strftime(s, ' %H:%M:%S %Y|%m/%d/%y|%H:%M:%S|%u%w|%V %G|') ||
+          strftime(s, '%U-%W|') || (year(s) // 100) || lpad(CAST(isoyear(s) % 100 AS VARCHAR), 2, '0') ||
+          strftime(s, '|%Y-%m-%dT%H:%M:%S') || p || '+00:00' AS shown FROM f""",
     "files_to_text": """SELECT row_number() OVER (ORDER BY conv_id, turn, i) - 1 AS position, rendered
         FROM (SELECT conv_id, turn, unnest(lines) AS rendered, generate_subscripts(lines, 1) AS i
           FROM (SELECT conv_id, turn, string_split(' INFO: ' || text || ' conv=' || conv_id ||
@@ -216,6 +247,6 @@ ORACLES: dict[str, str] = {
     "json_passthrough": f"""SELECT line AS value FROM {_MIXED}
         WHERE {_KIND} = 'json' AND (event_id % 10 = 1 OR {_PINO_LEVEL} >= 40)""",
     "log_table": f"""SELECT event_id, {_NAME} AS level, event_type AS message,
-        ({_MILLIS}) * 1000 AS ts_us, {_PINO_FIELDS} AS fields FROM events
+        ({_MILLIS}) * 1000 AS ts_us, {_PINO_FIELDS} AS fields, CAST(1 AS BIGINT) AS n_files FROM events
         WHERE {_PINO_LEVEL} >= 40""",
 }

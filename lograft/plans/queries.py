@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from functools import partial
 
@@ -15,7 +16,12 @@ from lograft.functions.values import variant_text
 from lograft.operators.chain import format_files
 from lograft.operators.filters import drop_empty, filter_logs, records_only
 from lograft.operators.multiline import number_lines, reassemble_lines
-from lograft.operators.parse import classify_lines, parse_logs, with_matched_alias
+from lograft.operators.parse import (
+    classify_lines,
+    parse_logs,
+    with_error_positions,
+    with_matched_alias,
+)
 from lograft.operators.project import project_fields, select_fields, with_shown_fields
 from lograft.operators.render import format_lines
 from lograft.options import LogOptions
@@ -42,6 +48,10 @@ def joined(fields: Column) -> Column:
     ).alias("fields")
 
 
+def number_of(value: Column, name: str) -> Column:
+    return value.cast("bigint").alias(name)
+
+
 def number(column: str) -> Column:
     return F.col(column).cast("bigint").alias(column)
 
@@ -201,8 +211,23 @@ def reassembled_as_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = classify_lines(recipes.mixed_lines(spark, sf_dir).select("event_id", "line"))
-    return read.select("event_id", F.col("parse_error.message").alias("problem"))
+    """Lines cut off, with something stray, with something behind the record, and sound ones."""
+    mixed, last = F.col("line"), F.pmod("event_id", F.lit(10))
+    lines = recipes.mixed_lines(spark, sf_dir).select(
+        "event_id",
+        F.when(last == 4, F.regexp_replace(mixed, r"\}$", ""))
+        .when(last == 5, F.concat(F.lit("at 7 "), mixed, F.lit(" junk}")))
+        .when(last == 6, F.replace(mixed, F.lit('"msg":'), F.lit('"msg":\n}')))
+        .when(last == 7, F.replace(mixed, F.lit('"msg":"'), F.lit('"msg":"\\x')))
+        .otherwise(mixed)
+        .alias("line"),
+    )
+    read = with_error_positions(classify_lines(lines))
+    error = F.col("parse_error")
+    return read.select(
+        "event_id", error["message"].alias("problem"), number_of(error["line"], "at_line"),
+        number_of(error["column"], "at_column"),
+    )
 
 
 # Extraction
@@ -270,6 +295,15 @@ def line_end_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_logs(parse_logs(lines), LogOptions(grep=r"[.]$")).select("doc_id")
 
 
+def escaped_group_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An escaped parenthesis before an ``m`` switches no flag on."""
+    documents = recipes.table(spark, sf_dir, "documents")
+    even = F.pmod("doc_id", F.lit(2)) == 0
+    text = F.when(even, F.lit("main")).otherwise(F.lit("main\n"))
+    lines = documents.select("doc_id", F.to_json(F.struct(text.alias("msg"))).alias("line"))
+    return filter_logs(parse_logs(lines), LogOptions(grep=r"\(?main$")).select("doc_id")
+
+
 def other_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in another column than ``line``, next to one of that name."""
     documents = recipes.table(spark, sf_dir, "documents")
@@ -348,6 +382,51 @@ def zoned_stamps(strftime: str, timezone: str, spark: SparkSession, sf_dir: str)
     return events.select("event_id", format_timestamp(at, strftime, timezone).alias("shown"))
 
 
+def local_stamps(strftime: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zone ``local`` is that of the machine that plans the query; it is named here."""
+    named = os.environ.get("TZ")
+    os.environ["TZ"] = "America/New_York"
+    try:
+        return zoned_stamps(strftime, "local", spark, sf_dir)
+    finally:
+        os.environ.pop("TZ") if named is None else os.environ.update(TZ=named)
+
+
+def fraction_stamps(strftime: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants with and without thousandths, millionths and billionths, spread over the years."""
+    events = recipes.table(spark, sf_dir, "events")
+    last = F.pmod("event_id", F.lit(4))
+    day = F.pmod("event_id", F.lit(3000)) * 86_400_000_000
+    micros_ = F.unix_micros(F.col("ts").cast("timestamp")) + day
+    second = F.call_function("div", micros_, F.lit(1_000_000)) * 1_000_000
+    at = F.timestamp_micros(
+        F.when(last == 0, second).when(last == 1, second + 7000).otherwise(second + 120034)
+    )
+    nanos = F.when(last == 3, F.lit(5)).otherwise(0)
+    shown = format_timestamp(at, strftime, "UTC", nanos)
+    return events.select("event_id", shown.alias("shown"))
+
+
+def long_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records so long that the quick parse of typed values refuses them."""
+    long = F.pmod("event_id", F.lit(2000)) == 0
+    filler = F.repeat(F.lit("a"), F.when(long, 17_000_000).otherwise(10).cast("int"))
+    lines = recipes.pino_lines(spark, sf_dir).select(
+        "event_id",
+        F.regexp_replace("line", r"\}$", "") .alias("head"), filler.alias("filler"),
+    ).select(
+        "event_id", F.concat("head", F.lit(',"x":"'), "filler", F.lit('"}')).alias("line")
+    )
+    logs = parse_logs(lines)
+    shown = F.transform_values(
+        F.col("extra_text"), lambda k, v: F.when(F.length(v) > 99, F.length(v).cast("string")).otherwise(v)
+    )
+    kinds = F.transform_values(F.col("extra"), lambda k, v: F.schema_of_variant(v))
+    return logs.select(
+        "event_id", "level", "message", joined(shown), F.element_at(kinds, "pid").alias("pid_type")
+    )
+
+
 def files_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken records in files, through the whole chain in one call; entries in input order."""
     prepare_session(spark)
@@ -404,9 +483,11 @@ def table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _new_folder(spark, "table")
     logs = parse_logs(recipes.pino_lines(spark, sf_dir).select("event_id", "line"))
     write_log_table(logs.drop("extra_text"), folder)
-    back = spark.read.parquet(folder).filter("level_num >= 40")
+    back = spark.read.parquet(folder)
+    files = back.groupBy("day").agg(F.countDistinct("_metadata.file_name").alias("n_files"))
     texts = F.transform_values(F.col("extra"), lambda k, v: variant_text(v))
-    return back.select("event_id", "level", "message", micros(), joined(texts))
+    severe = back.filter("level_num >= 40").join(F.broadcast(files), "day")
+    return severe.select("event_id", "level", "message", micros(), joined(texts), "n_files")
 
 
 QUERIES: dict[str, Query] = {
@@ -452,6 +533,7 @@ QUERIES: dict[str, Query] = {
     ),
     "grep_raw": raw_grep,
     "grep_line_end": line_end_grep,
+    "grep_escaped_group": escaped_group_grep,
     "parse_other_column": other_column,
     "json_records_only": only_records,
     "drop_empty": without_empty,
@@ -478,6 +560,11 @@ QUERIES: dict[str, Query] = {
     "format_timestamp_zone": partial(
         zoned_stamps, "%FT%T%:z %Z %z %k|%l|%P %e", "America/New_York"
     ),
+    "format_timestamp_fraction": partial(
+        fraction_stamps, "%S%.f|%f|%-d.%_m.%0e|%c|%x|%X|%u%w|%V %G|%U-%W|%C%g|%+"
+    ),
+    "timezone_local": partial(local_stamps, "%Y-%m-%d %H:%M %z"),
+    "long_records": long_records,
     "files_to_text": files_to_text,
     "render_ansi": partial(
         rendered,

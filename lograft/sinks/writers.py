@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,10 +71,32 @@ def write_in_order(
     dealt.select("value").write.mode(mode).text(path)
 
 
-def write_log_table(logs: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The log table as Parquet, by day, so that readers can skip by day and by level.
+#: Bytes of a row group: small enough that a level's rows are groups of their own in a busy day.
+ROW_GROUP_BYTES = 32 << 20
+
 
-    Rows are not gathered by day first: that would put a busy day into one task. Each task
-    writes a file per day it holds; logs come in time order, so these are few.
+def write_log_table(
+    logs: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    days: tuple[date, date] | None = None,
+    row_group_bytes: int = ROW_GROUP_BYTES,
+) -> None:
+    """The log table as Parquet, by day and within a file by level, so that readers skip both.
+
+    The rows of a day meet in one task, or where they are many in as many as their size asks for:
+    Spark rebalances by the sizes it sees, so a busy day is no single task and a quiet one no
+    handful of files. Entries without an instant, and with ``days`` those outside its first and
+    last day, share one partition, so that stray instants make no folders.
     """
-    logs.withColumn("day", F.to_date("ts")).write.mode(mode).partitionBy("day").parquet(path)
+    day = F.to_date("ts")
+    if days is not None:
+        day = F.when(day.between(*map(F.lit, days)), day)
+    table = logs.withColumn("day", day).hint("rebalance", "day")
+    (
+        table.sortWithinPartitions("day", "level_num")
+        .write.mode(mode)
+        .option("parquet.block.size", row_group_bytes)
+        .partitionBy("day")
+        .parquet(path)
+    )

@@ -70,7 +70,7 @@ MILLIS_BELOW = 1_000_000_000_000_000
 # Strftime directive -> Spark datetime pattern.
 STRFTIME_PATTERNS = {
     "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm",
-    "%S": "ss", "%3f": "SSS", "%6f": "SSSSSS", "%f": "SSSSSS", "%.3f": ".SSS", "%.6f": ".SSSSSS",
+    "%S": "ss", "%3f": "SSS", "%6f": "SSSSSS", "%.3f": ".SSS", "%.6f": ".SSSSSS",
     "%j": "DDD", "%a": "EEE", "%A": "EEEE", "%b": "MMM", "%h": "MMM", "%B": "MMMM", "%p": "a",
     "%F": "yyyy-MM-dd", "%T": "HH:mm:ss", "%R": "HH:mm", "%D": "MM/dd/yy",
     "%%": "%",
