@@ -22,6 +22,11 @@ _MS_STAMP = "strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S.%g')"
 _PINO_STAMP = _MS_STAMP.format(us=f"({_MILLIS}) * 1000")
 _ZAP_US = "(epoch_us(ts) // 1000000) * 1000000 + 500000"
 _BADGE = f"lpad(upper({_NAME}), 5, ' ')"
+_TS_STAMP = _MS_STAMP.format(us="epoch_us(ts)")
+_PLAIN_BADGE = (
+    "CASE event_type WHEN 'view' THEN 'DEBUG' WHEN 'click' THEN 'DEBUG' WHEN 'signup' THEN ' INFO' "
+    "WHEN 'purchase' THEN ' WARN' ELSE 'ERROR' END"
+)
 _KIND = (
     "CASE event_id % 10 WHEN 0 THEN 'raw' WHEN 2 THEN 'raw' WHEN 3 THEN 'raw' ELSE 'json' END"
 )
@@ -194,6 +199,16 @@ ORACLES: dict[str, str] = {
         FROM events""",
     "render_single_line": f"""SELECT event_id, {_MS_STAMP.format(us=_ZAP_US)} || '       : svc ' ||
         event_type || ' (a.go:' || user_id || ') cents=' || {_CENTS} AS rendered FROM events""",
+    "render_slog": f"""SELECT event_id, {_TS_STAMP} || '  ' || {_PLAIN_BADGE} || ': checker-' ||
+        user_id || ' ' || event_type || ' (monitor) cents=' || {_CENTS} || ' host=web-' ||
+        event_id % 10 || ' limit=1500' AS rendered FROM events""",
+    "render_bunyan": f"""SELECT event_id, {_TS_STAMP} || '  ' || {_BADGE} || ': shop ' || event_type ||
+        ' ({{"file":"db/pool.x","line":' || event_id % 500 || '}}) cents=' || {_CENTS} ||
+        ' hostname=host-' || event_id % 10 || ' pid=' || user_id || ' v=0 waiting=15' AS rendered
+        FROM events""",
+    "render_structlog": f"""SELECT event_id, {_TS_STAMP} || '  ' || {_PLAIN_BADGE} || ': shop.orders ' ||
+        event_type || ' amount=' || event_id % 100 || '.25 currency=EUR customer_id=c-' || user_id ||
+        ' method=card region=eu-1 transaction_id=t-' || event_id AS rendered FROM events""",
     "render_error_block": f"""SELECT event_id, {_MS_STAMP.format(us='epoch_us(ts)')} || '  ' ||
         {_BADGE} || ': ' || event_type || {_extra('cents', _CENTS, 8)} || {_LINE_END} ||
         '   error: first' || {_LINE_END} || '          second' || {_LINE_END} || '          third'

@@ -554,6 +554,9 @@ QUERIES: dict[str, Query] = {
     "render_mixed": partial(rendered, recipes.mixed_lines, LogOptions(single_line=True, verbose=True)),
     "level_badge": badges,
     "render_single_line": partial(rendered, recipes.zap_lines, LogOptions(single_line=True)),
+    "render_slog": partial(rendered, recipes.slog_lines, LogOptions(single_line=True)),
+    "render_bunyan": partial(rendered, recipes.bunyan_lines, LogOptions(single_line=True)),
+    "render_structlog": partial(rendered, recipes.structlog_lines, LogOptions(single_line=True)),
     "render_error_block": partial(rendered, _with_error, LogOptions(key_min_width=8)),
     "format_timestamp": partial(stamps, "%d.%m.%Y %H:%M:%S%.6f %% %j", "UTC"),
     "timezone_convert": partial(stamps, "%Y-%m-%d %H:%M", "America/New_York"),

@@ -80,6 +80,66 @@ def zap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def slog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upper-case level names, a source and a component of its own."""
+    level = _by_type(view="DEBUG", click="DEBUG", signup="INFO", purchase="WARN", error="ERROR")
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return table(spark, sf_dir, "events").withColumn(
+        "line",
+        _concat(
+            '{"time":"', stamp, '","level":"', level, '","msg":"', F.col("event_type"),
+            '","source":"monitor","component":"checker-', F.col("user_id"), '","cents":', cents(),
+            ',"limit":1500,"host":"web-', F.col("event_id") % 10, '"}',
+        ),
+    )
+
+
+def bunyan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric level, a version and a name, an object for the place in the code."""
+    level = _by_type(view=10, click=20, signup=30, purchase=40, error=50)
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return table(spark, sf_dir, "events").withColumn(
+        "line",
+        _concat(
+            '{"v":0,"name":"shop","hostname":"host-', F.col("event_id") % 10, '","pid":',
+            F.col("user_id"), ',"level":', level, ',"msg":"', F.col("event_type"), '","time":"', stamp,
+            '","src":{"file":"db/pool.x","line":', F.col("event_id") % 500, '},"cents":', cents(),
+            ',"waiting":15}',
+        ),
+    )
+
+
+def structlog_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The message as ``event``, a named logger, an amount with a fraction, many fields."""
+    level = _by_type(view="debug", click="debug", signup="info", purchase="warning", error="error")
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return table(spark, sf_dir, "events").withColumn(
+        "line",
+        _concat(
+            '{"event":"', F.col("event_type"), '","level":"', level, '","timestamp":"', stamp,
+            '","logger":"shop.orders","amount":', F.col("event_id") % 100, '.25,"currency":"EUR",'
+            '"customer_id":"c-', F.col("user_id"), '","method":"card","transaction_id":"t-',
+            F.col("event_id"), '","region":"eu-1"}',
+        ),
+    )
+
+
+def sized_lines(spark: SparkSession, sf_dir: str, fields: int) -> DataFrame:
+    """Records with so many further fields; 1, 10 and 40 make short, usual and long lines."""
+    extra = F.array_join(
+        F.transform(
+            F.sequence(F.lit(1), F.lit(fields)),
+            lambda i: F.concat(F.lit(',"field_'), i, F.lit('":"value with some more text '), i, F.lit('"')),
+        ),
+        "",
+    )
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return table(spark, sf_dir, "events").withColumn(
+        "line",
+        _concat('{"level":"info","msg":"', F.col("event_type"), '","ts":"', stamp, '"', extra, "}"),
+    )
+
+
 def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records among plain text, records without a level, broken ones and empty lines."""
     last = F.col("event_id") % 10
