@@ -36,14 +36,21 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def dealing(spark: SparkSession) -> tuple[int, int]:
-    """Groups of documents, and buckets of what groups tell each other.
+#: Bytes of text in a group, and of text whose repeats meet in a bucket. A task's numpy arrays take
+#: about forty times as much.
+GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
-    Two groups per shuffle partition even out their sizes. What a group tells is a fraction of its
-    text, so fewer buckets will do, and groups times buckets, the rows of such an exchange, stay few.
+
+def dealing(texts: DataFrame) -> tuple[int, int]:
+    """Groups of documents, and buckets of what groups tell each other, for ``texts(text)``.
+
+    Their number follows from the bytes there are, so that a group fits a task whatever the session's
+    settings; two groups per shuffle partition at least even out their sizes. What a group tells is a
+    fraction of its text, so fewer buckets will do.
     """
-    n = partitions(spark)
-    return 2 * n, n
+    n = partitions(texts.sparkSession)
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(2 * n, -(-size // GROUP_BYTES)), max(n, -(-size // BUCKET_BYTES))
 
 
 def free_name(frame: DataFrame, base: str) -> str:

@@ -140,7 +140,7 @@ def similar_sets(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame, Dat
     """
     spark = docs.sparkSession
     ship(spark)
-    groups, buckets = dealing(spark)
+    groups, buckets = dealing(docs)
     mine = doc_groups(docs, groups).groupBy("grp")
     sets = kept(mine.applyInArrow(lambda g: _sets(g, k), SET_SCHEMA))
     nodes = kept(

@@ -91,7 +91,7 @@ def find_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) ->
         raise ValueError(f"a window needs more than {SEED_WORDS} words")
     spark = docs.sparkSession
     ship(spark)
-    groups, buckets = dealing(spark)
+    groups, buckets = dealing(docs)
     grouped = doc_groups(docs, groups)
 
     def seeds(group: pa.Table) -> pa.Table:
@@ -199,7 +199,7 @@ def kept_rows(words: Words, gone: np.ndarray, with_text: bool):
         runs = int(mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum())
         body = b" ".join(split)
         row = (doc, int(b - a), removed, runs, hashlib.sha256(body).hexdigest())
-        yield (*row, body.decode("utf-8")) if with_text else row
+        yield (*row, body.decode("utf-8", "replace")) if with_text else row
 
 
 def substring_dedup(

@@ -50,6 +50,8 @@ class Stretches:
         data, self.offsets = raw_texts(self.group.column("text"))
         self.ords = self.group.column("ord").to_numpy()
         self.size = n = len(data)
+        if n >= 1 << 32:
+            raise ValueError("a text of 4 GiB or more")
         self.data = data.tobytes() + bytes(length + 16)
         ends, starts = self.offsets[1:], self.offsets[:-1]
         edge = np.zeros(n + 1, np.int32)
@@ -136,8 +138,9 @@ def repeated_bytes(
     several, prefix doubling ranks their positions at 8, 16, 32 and at last ``length`` bytes. Ranks
     there come from the bytes themselves, so no hash decides what is equal.
 
-    Documents are dealt over groups, several per shuffle partition; a group sends each stretch
-    once, so a text that a third of all rows have costs one copy per group. Texts are shuffled once.
+    Documents are dealt over groups of a few megabytes; a group sends each stretch once, so a text that
+    a third of all rows have costs one copy per group. Texts are shuffled once. A text is never cut:
+    one of 4 GiB or more is an error, and a task needs about forty times the longest.
 
     Null and empty texts have no bytes; texts shorter than ``length`` keep all. A null identifier
     counts as larger than all others; rows with one identifier do not remove from each other. An
@@ -147,13 +150,13 @@ def repeated_bytes(
         raise ValueError(f"length must be at least {2 * SEED_BYTES}")
     spark = docs.sparkSession
     ship(spark)
-    groups, buckets = dealing(spark)
     renamed = {name: f"c{i}" for i, name in enumerate(carry)}
     read = docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         docs[text_col].cast("string").alias("text"),
         *(docs[name].alias(to) for name, to in renamed.items()),
     )
+    groups, buckets = dealing(read)
     grouped = doc_groups(read, groups, list(renamed.values()))
     mine = grouped.groupBy("grp")
 
