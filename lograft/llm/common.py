@@ -186,13 +186,13 @@ def word_hashes(
     return out, counts
 
 
-def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(h: np.ndarray, k: int, factor: int = 0x9FB21C651E98DF25) -> np.ndarray:
     """A hash of each ``k`` consecutive hashes."""
     if len(h) < k:
         return np.zeros(0, np.uint64)
     n = len(h) - k + 1
     out = np.zeros(n, np.uint64)
-    factor = np.uint64(0x9FB21C651E98DF25)
+    factor = np.uint64(factor)
     for j in range(k):
         out *= factor
         out += h[j : j + n]

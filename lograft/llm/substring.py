@@ -42,6 +42,43 @@ OUT_SCHEMA = (
 )
 
 
+#: Two windows are the same if both parts are. At 10^13 windows, 64 bits alone would take millions of
+#: different ones for equal; 96 bits take none (the odds are below one in a thousand).
+WINDOW = np.dtype([("hash", "<u8"), ("check", "<u4")])
+_HALF = np.uint64(32)
+
+
+def by_value(windows: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal windows together, ``then`` ascending among them, and where in it a
+    window differs from the one before."""
+    order = np.lexsort((*then[::-1], windows["check"], windows["hash"]))
+    ranked = windows[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ranked["hash"][1:] != ranked["hash"][:-1]) | (
+        ranked["check"][1:] != ranked["check"][:-1]
+    )
+    return order, new
+
+
+def among(windows: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Which windows are in ``found``."""
+    order, _ = by_value(found)
+    ranked = found[order]
+    out = np.zeros(len(windows), bool)
+    at = np.searchsorted(ranked["hash"], windows["hash"])
+    left = np.flatnonzero(at < len(ranked))
+    while len(left):
+        same = ranked["hash"][at[left]] == windows["hash"][left]
+        left = left[same]
+        hit = ranked["check"][at[left]] == windows["check"][left]
+        out[left[hit]] = True
+        # Different windows of one hash stand side by side.
+        left = left[~hit]
+        at[left] += 1
+        left = left[at[left] < len(ranked)]
+    return out
+
+
 class Words:
     """The word hashes of a group's documents, and the seed of every window inside one document."""
 
@@ -66,7 +103,12 @@ class Words:
         return change
 
     def window_hashes(self, chosen: np.ndarray) -> np.ndarray:
-        return gram_hashes(self.hashes, self.window)[self.starts[chosen]]
+        """96 bits of each chosen window, as a hash and a check of it."""
+        starts = self.starts[chosen]
+        out = np.empty(len(starts), WINDOW)
+        out["hash"] = gram_hashes(self.hashes, self.window)[starts]
+        out["check"] = gram_hashes(self.hashes, self.window, 0xC2B2AE3D27D4EB4F)[starts] >> _HALF
+        return out
 
 
 def find_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) -> DataFrame:
@@ -76,10 +118,12 @@ def find_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) ->
     smaller identifier; windows are judged on the input. Seeds: every window names the
     ``SEED_WORDS``-word run with the smallest hash that it holds (winnowing), so two equal windows
     have equal seeds. Documents meet on seeds only. Around a seed that several documents have, the
-    windows that hold it are compared whole by a 64-bit hash, not extended word by word; neighbouring
-    windows join to maximal repeats, of which none is shorter than ``window``.
+    windows that hold it are compared whole, by 96 bits, not extended word by word: contexts of an
+    anchor would have to meet in one task, and a frequent phrase has as many as documents, where
+    windows are dealt out each by its own hash. Neighbouring windows join to maximal repeats, of which
+    none is shorter than ``window``.
 
-    Documents are dealt over groups, several per shuffle partition; what groups tell each other are
+    Documents are dealt over groups of a few megabytes; what groups tell each other are
     distinct seeds, then distinct windows with their first document. So a passage that all
     documents share costs one number per group. Texts are shuffled once.
 
@@ -107,7 +151,7 @@ def find_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) ->
             chosen = held(seed_keys(words.seeds, buckets), received_keys(told))
             first, ords = first_orders(words, chosen)
             number = group.column("grp")[0].as_py()
-            for bucket, part in by_bucket(first, buckets):
+            for bucket, part in by_bucket(first["hash"], buckets):
                 rows.append((number, bucket, first[part].tobytes(), ords[part].tobytes()))
         return columns(
             rows,
@@ -116,13 +160,9 @@ def find_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) ->
         )
 
     def earlier(bucket: pa.Table) -> pa.Table:
-        parts = numbers(bucket.column("windows"), np.uint64)
-        hashes = np.concatenate(parts)
+        parts = numbers(bucket.column("windows"), WINDOW)
         ords = np.concatenate(numbers(bucket.column("ords"), np.int64))
-        order = np.lexsort((ords, hashes))
-        ranked = hashes[order]
-        new = np.ones(len(order), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
+        order, new = by_value(np.concatenate(parts), ords)
         least = ords[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
         later = np.zeros(len(order), bool)
         later[order] = ords[order] > least
@@ -138,7 +178,7 @@ def find_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) ->
         rows = []
         if len(group):
             words = Words(group, window)
-            gone = covered(words, removed_windows(words, numbers(found.column("windows"), "u8")))
+            gone = covered(words, removed_windows(words, numbers(found.column("windows"), WINDOW)))
             rows = list(kept_rows(words, gone, with_text))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         names = ["doc_id", "n_words", "n_removed", "n_repeats", "kept_sha256"]
@@ -156,9 +196,10 @@ def find_repeats(docs: DataFrame, window: int = 13, with_text: bool = False) ->
 
 def first_orders(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct chosen windows, and the smallest identifier here of a document with each."""
-    hashes = words.window_hashes(chosen)
-    distinct, first = np.unique(hashes, return_index=True)
-    return distinct, words.ords[words.docs[chosen][first]]
+    windows = words.window_hashes(chosen)
+    order, new = by_value(windows)
+    first = order[new]  # the order is stable, and documents come by identifier
+    return windows[first], words.ords[words.docs[chosen][first]]
 
 
 def removed_windows(words: Words, found: list[np.ndarray]) -> np.ndarray:
@@ -168,14 +209,14 @@ def removed_windows(words: Words, found: list[np.ndarray]) -> np.ndarray:
     every = np.ones(len(words.starts), bool)
     gone = np.zeros(len(words.starts), bool)
     if found:
-        gone = held(words.window_hashes(every), np.sort(np.concatenate(found)))
+        gone = among(words.window_hashes(every), np.concatenate(found))
     change = words.firsts()
     local = held(words.seeds, in_several(words.seeds[change], words.docs[change]))
     if local.any():
-        hashes = words.window_hashes(local)
-        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        ords = words.ords[words.docs[local]]
-        gone[np.flatnonzero(local)[ords > ords[first][back]]] = True
+        order, new = by_value(words.window_hashes(local))
+        ords = words.ords[words.docs[local]][order]
+        least = ords[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        gone[np.flatnonzero(local)[order[ords > least]]] = True
     return words.starts[gone]
 
 

@@ -1,5 +1,6 @@
 """Suffix-array and substring dedup against brute force on texts of many kinds."""
 
+import numpy as np
 import hashlib
 import random
 
@@ -116,3 +117,19 @@ def test_doubled_ranks():
         same.setdefault(text[i : i + 50], set()).add(int(rank[i]))
     assert all(len(r) == 1 for r in same.values())
     assert len(set(rank.tolist())) == len(same)
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_check():
+    from lograft.llm.substring import WINDOW, among, by_value
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        windows = np.zeros(int(rng.integers(0, 30)), WINDOW)
+        found = np.zeros(int(rng.integers(0, 30)), WINDOW)
+        for table in (windows, found):
+            table["hash"], table["check"] = rng.integers(0, 4, (2, len(table)))
+        known = {tuple(w) for w in found.tolist()}
+        assert among(windows, found).tolist() == [tuple(w) in known for w in windows.tolist()]
+        order, new = by_value(windows)
+        assert int(new.sum()) == len({tuple(w) for w in windows.tolist()})
+        assert [tuple(w) for w in windows[order].tolist()] == sorted(map(tuple, windows.tolist()))
