@@ -1,9 +1,9 @@
 """Suffix-array and substring dedup against brute force on texts of many kinds."""
 
-import numpy as np
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from lograft.llm.suffix import doubled_ranks, repeated_bytes
