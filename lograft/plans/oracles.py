@@ -133,6 +133,10 @@ ORACLES: dict[str, str] = {
         FROM events""",
     "ts_from_float": f"""SELECT event_id, {_ZAP_US} AS ts_us, CAST(0 AS BIGINT) AS ts_nanos
         FROM events""",
+    "ts_rare_shapes": """SELECT event_id, CASE event_id % 4
+          WHEN 0 THEN epoch_us(ts) // 1000000 * 1000000 WHEN 1 THEN epoch_us(ts) // 60000000 * 60000000
+          WHEN 2 THEN epoch_us(ts) ELSE epoch_us(ts) // 1000 * 1000 END AS ts_us,
+        CAST(0 AS BIGINT) AS ts_nanos FROM events""",
     "epoch_shapes": f"""SELECT event_id, CASE event_id % 4
         WHEN 0 THEN epoch_us(ts) // 1000000 * 1000000 WHEN 1 THEN -event_id * 1000000
         WHEN 2 THEN NULL ELSE ({_MILLIS}) * 1000 END AS ts_us,

@@ -513,6 +513,7 @@ QUERIES: dict[str, Query] = {
     "ts_from_epoch": partial(instants, recipes.pino_lines),
     "ts_from_nanos": partial(instants, recipes.embedded_lines),
     "ts_from_float": partial(instants, recipes.zap_lines),
+    "ts_rare_shapes": partial(instants, recipes.rare_stamp_lines),
     "epoch_shapes": partial(instants, recipes.epoch_lines),
     "level_from_name": partial(level_of, recipes.logrus_lines),
     "level_from_number": partial(level_of, recipes.pino_lines),

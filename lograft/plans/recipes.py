@@ -200,6 +200,18 @@ def epoch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("line", _concat('{"ts":', number, "}"))
 
 
+def rare_stamp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times without dashes and colons, without seconds, with a comma, with a zone in brackets."""
+    at = F.col("ts").cast("timestamp")
+    shapes = [
+        F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"), F.date_format(at, "yyyy-MM-dd'T'HH:mm'Z'"),
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss,SSSSSS'Z'"),
+        F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSS'+00:00[UTC]'"),
+    ]
+    stamp = F.element_at(F.array(*shapes), (F.pmod("event_id", F.lit(4)) + 1).cast("int"))
+    return table(spark, sf_dir, "events").withColumn("line", _concat('{"time":"', stamp, '"}'))
+
+
 def level_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels as whole numbers, fractions, and numbers in quotes, which are no numbers."""
     number = F.pmod("event_id", F.lit(70)).cast("string")
