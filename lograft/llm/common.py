@@ -41,7 +41,7 @@ def partitions(spark: SparkSession) -> int:
 GROUP_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 
 
-def dealing(texts: DataFrame) -> tuple[int, int]:
+def dealing(texts: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[int, int]:
     """Groups of documents, and buckets of what groups tell each other, for ``texts(text)``.
 
     Their number follows from the bytes there are, so that a group fits a task whatever the session's
@@ -50,7 +50,7 @@ def dealing(texts: DataFrame) -> tuple[int, int]:
     """
     n = partitions(texts.sparkSession)
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return max(2 * n, -(-size // GROUP_BYTES)), max(n, -(-size // BUCKET_BYTES))
+    return max(2 * n, -(-size // GROUP_BYTES)), max(n, -(-size // bucket_bytes))
 
 
 def free_name(frame: DataFrame, base: str) -> str:
