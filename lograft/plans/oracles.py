@@ -250,6 +250,8 @@ ORACLES: dict[str, str] = {
           lpad(strftime(s, '%-d'), 2, ' ') || strftime(s, ' %H:%M:%S %Y|%m/%d/%y|%H:%M:%S|%u%w|%V %G|') ||
           strftime(s, '%U-%W|') || (year(s) // 100) || lpad(CAST(isoyear(s) % 100 AS VARCHAR), 2, '0') ||
           strftime(s, '|%Y-%m-%dT%H:%M:%S') || p || '+00:00' AS shown FROM f""",
+    "follow_files": """SELECT unnest(string_split(' INFO: ' || text || ' conv=' || conv_id || ' turn=' ||
+        turn, chr(10))) AS rendered FROM conversations""",
     "files_to_text": """SELECT row_number() OVER (ORDER BY conv_id, turn, i) - 1 AS position, rendered
         FROM (SELECT conv_id, turn, unnest(lines) AS rendered, generate_subscripts(lines, 1) AS i
           FROM (SELECT conv_id, turn, string_split(' INFO: ' || text || ' conv=' || conv_id ||

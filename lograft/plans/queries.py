@@ -31,7 +31,12 @@ from lograft.sources.files import decoded_line, drop_invalid, read_log_files, st
 from lograft.session import prepare_session
 from lograft.sources.order import totals_before
 from lograft.sources.shared import kept, new_path
-from lograft.streaming.live import live_entries, reassemble_stream, write_live
+from lograft.streaming.live import (
+    follow_files,
+    live_entries,
+    reassemble_stream,
+    write_live,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -443,6 +448,20 @@ def files_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def followed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain over files that appear in a folder, by one run of a stream."""
+    prepare_session(spark)
+    folder, out = _new_folder(spark, "appearing"), _new_folder(spark, "followed")
+    options = LogOptions(single_line=True, include_fields=("conv", "turn"), line_gap=0)
+    conv = F.col("source").cast("bigint")
+    lines = recipes.conversation_lines(spark, sf_dir).withColumn("conv", conv)
+    _written(lines, folder, "conv", "position", by="conv")
+    follow_files(
+        spark, folder, out, out + "-checkpoint", options, interval=None
+    ).awaitTermination()
+    return spark.read.text(out).select(F.col("value").alias("rendered"))
+
+
 _with_error = partial(recipes.logrus_lines, error=r'"error":"first\r\nsecond\nthird\n",')
 
 
@@ -570,6 +589,7 @@ QUERIES: dict[str, Query] = {
     "timezone_local": partial(local_stamps, "%Y-%m-%d %H:%M %z"),
     "long_records": long_records,
     "files_to_text": files_to_text,
+    "follow_files": followed_files,
     "render_ansi": partial(
         rendered,
         recipes.logrus_lines,
