@@ -54,6 +54,10 @@ AT_WORDS = ("at", "arroba", "arobase", "klammeraffe")
 DOT_WORDS = ("dot", "punkt", "point", "punto")
 PLUS_WORDS = ("plus",)
 
+# The signs as they are written in addresses of pages and in markup.
+AT_CODES = ("&#64;", "&#064;", "&#x40;", "&commat;", "%40")
+DOT_CODES = ("&#46;", "&#046;", "&#x2e;", "&period;", "%2e")
+
 # Last labels that make a name out of words joined by a plain "at".
 LAST_LABELS = frozenset(
     "com org net edu gov mil int info biz io dev app co uk us ca eu de fr es it nl ch au jp".split()
@@ -205,7 +209,8 @@ def _folded() -> np.ndarray:
                  *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200), *range(0x1FBF0, 0x1FBFA)):
         char = chr(code)
         kind = unicodedata.category(char)
-        if kind == "Cf":
+        # What is not seen, and marks on the letter or digit before.
+        if kind in ("Cf", "Me") or 0x300 <= code < 0x370 or 0xFE00 <= code < 0xFE10:
             table[code] = -1
         elif kind == "Zs":
             table[code] = 0x20
@@ -253,6 +258,7 @@ _STRONG = rf"{_OPEN}[ \t]*(?:{_any_of([*AT_WORDS, *DOT_WORDS, '@', '.'])})[ \t]*
 _TOKEN = re.compile(
     rf"(?<![ \t])[ \t]*+{_OPEN}[ \t]*(?:(?P<at>{_any_of([*AT_WORDS, '@'])})|(?:{_any_of([*DOT_WORDS, '.'])}))"
     rf"[ \t]*{_CLOSE}[ \t]*"
+    rf"|(?P<at_code>{_any_of(AT_CODES)})|(?P<dot_code>{_any_of(DOT_CODES)})"
     rf"|(?:(?<=[A-Za-z0-9])[ \t]+|(?<=[A-Za-z0-9])_)"
     rf"(?:(?P<sure>{_any_of(AT_WORDS[1:])}|@)|(?P<maybe>{AT_WORDS[0]})"
     rf"|(?P<dot>{_any_of(DOT_WORDS)}|\.))(?:[ \t]+|_)(?=[A-Za-z0-9])"
@@ -299,7 +305,7 @@ def undone(traced: Traced) -> Traced:
         elif m["dot"]:
             put(WEAK_DOT, a, b)
         else:
-            put("@" if m["at"] or m["sure"] else ".", a, b)
+            put("@" if m["at"] or m["sure"] or m["at_code"] else ".", a, b)
         done = b
     out.append(text[done:])
     starts.append(traced.starts[done:])
@@ -362,6 +368,7 @@ def disguised_spans(text: str) -> list[Span]:
 
 
 _BRACKETED = re.compile(_STRONG, re.IGNORECASE)
+_CODED = re.compile(_any_of([*AT_CODES, *DOT_CODES]), re.IGNORECASE)
 _DIGITS_SPELLED = re.compile(
     rf"(?<![^\W_]){_DIGIT_WORD}(?:[ \t]+|-)(?:{_DIGIT_WORD}(?![^\W_])|[0-9])", re.IGNORECASE
 )
@@ -390,6 +397,8 @@ def may_be_disguised(text: str, letters: bytes, has_digit: bool) -> bool:
         return True
     if " @ " in text or "\t@" in text or "@\t" in text or "_@" in text or "@_" in text:
         return True
+    if ("&" in text or "%" in text) and _CODED.search(text):
+        return True
     return bool(_BRACKETED.search(text) or _AT_NAME.search(text) or seen(text))
 
 

@@ -68,6 +68,8 @@ DISGUISED = [
     ("email", "anna(at)example.com"), ("email", "jоhn.doe@mail.com"), ("email", "joe.b at example.com"),
     ("email", "info arroba ejemplo punto es"), ("email", "x_1 @ mail2.example.com"),
     ("email", "john＠example．com"), ("email", "jo​hn@ex​ample.com"),
+    ("email", "john&#64;example&#46;com"), ("email", "x%40mail.example.com"), ("email", "rene\u0301@ex.org"),
+    ("ip", "1\ufe0f\u20e30.0.0.1"),
     ("email", "john_at_example_dot_com"), ("email", "eva{AT}firma{PUNKT}de"),
     ("ip", "192[.]168[.]0[.]1"), ("ip", "192 dot 168 dot zero dot one"), ("ip", "l92.l68.O.1"),
     ("card", "four one one one 1111 1111 1111"), ("card", "４１１１１１１１１１１１１１１１"),
