@@ -320,9 +320,10 @@ def learn(
         .orderBy(order, "doc_id")
         .limit(MAX_LABELLED)
     )
-    # At most MAX_LABELLED rows and those that repeat their identifiers, written once.
+    # The chosen labels are written once; the texts are read again for each count, as written out
+    # they cost executors more memory than the reading costs time.
     marked = kept(marked)
-    rows = kept(id_and_text(docs, id_col, text_col).join(F.broadcast(marked), "doc_id"))
+    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(marked), "doc_id")
     # Copies say nothing new, so a text counts once in each class.
     texts = rows.select((F.col("toxic") != 0).alias("toxic"), "text").distinct()
     numbers = texts.groupBy("toxic").count().collect()
