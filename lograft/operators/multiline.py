@@ -304,27 +304,26 @@ def reassemble_lines(
         ).alias("block"),
     )
 
-    # Blocks with a starter so near their end that its record may run into the next one.
-    open_ended = (
-        found.filter(F.col("line_no") % block_lines >= block_lines - limit)
-        .select("source", block.alias("block"))
-        .distinct()
-    )
-    exits = (
-        spread.join(open_ended, ["source", "block"], "left_semi")
-        .select("source", "block", "line_no", "line", "starter", "entry", "offset")
-        .repartition("source", "block")
-        .sortWithinPartitions("source", "block", "line_no")
-        .mapInPandas(_exits_of_blocks(block_lines, limit), _EXITS)
-    )
-    entry_rows = entries_of_blocks(exits, limit).select(
-        "source", F.lit(_ENTRY_ROW).cast("bigint").alias("line_no"),
-        F.lit(None).cast("string").alias("line"), F.lit(False).alias("starter"), "entry", "block",
-        F.lit(None).cast("bigint").alias("offset"),
-    )
+    # Blocks with a starter so near their end that its record may run into the next one; most input
+    # has none.
+    late = found.filter(F.col("line_no") % block_lines >= block_lines - limit)
+    if not late.isEmpty():
+        open_ended = late.select("source", block.alias("block")).distinct()
+        exits = (
+            spread.join(open_ended, ["source", "block"], "left_semi")
+            .select("source", "block", "line_no", "line", "starter", "entry", "offset")
+            .repartition("source", "block")
+            .sortWithinPartitions("source", "block", "line_no")
+            .mapInPandas(_exits_of_blocks(block_lines, limit), _EXITS)
+        )
+        entry_rows = entries_of_blocks(exits, limit).select(
+            "source", F.lit(_ENTRY_ROW).cast("bigint").alias("line_no"),
+            F.lit(None).cast("string").alias("line"), F.lit(False).alias("starter"), "entry",
+            "block", F.lit(None).cast("bigint").alias("offset"),
+        )
+        spread = spread.unionByName(entry_rows)
     joined = (
-        spread.unionByName(entry_rows)
-        .select("source", "block", "line_no", "line", "starter", "entry", "offset")
+        spread.select("source", "block", "line_no", "line", "starter", "entry", "offset")
         .repartition("source", "block")
         .sortWithinPartitions("source", "block", "line_no")
         .mapInPandas(_walked_blocks(block_lines, limit), _JOINED)
