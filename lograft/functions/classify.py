@@ -33,10 +33,14 @@ _SURROGATE = r"\\u[dD][89a-fA-F][0-9a-fA-F]{2}"
 
 
 # A number that may be beyond a double has a large exponent or very many digits; the strings and
-# numbers of a record. A quoted token is never a number to the cast.
+# numbers of a record.
 _LARGE_EXPONENT = r"[eE][+]?[0-9]{3}"
 _MAYBE_VAST = r"[0-9][eE][+]?0*[0-9]{3}|[0-9]{309}"
 _VAST_DIGITS = 309
+# The same for a part of a record; without a large exponent a vast number has so many digits.
+_VAST_PART = r"[eE][+]?0*[0-9]{3}|[0-9]{210}"
+# Longer records are looked through in parts: a pattern takes far longer than a plain search.
+LONG_TEXT = 4096
 _VALUES = r'"[^"\\]*(?:\\.[^"\\]*)*"|-?[0-9][-+.0-9eE]*'
 
 
@@ -83,14 +87,35 @@ def read_fields(part: Column) -> Column:
     )
 
 
+def between_quotes(record: Column) -> Column:
+    """The parts of a record before, between and behind its quotes, found by a plain search.
+
+    What stands outside strings begins with a brace, a bracket, a comma, a colon or white space.
+    """
+    return F.split(record, '"', -1)
+
+
 def _holds_vast(part: Column) -> Column:
     """Whether a number of the record is beyond a double; the whole look is rarely needed."""
-    may = part.rlike(_LARGE_EXPONENT) | (F.octet_length(part) > _VAST_DIGITS)
+    outside = [ord(c) for c in "{}[],: \t\n\r"]
+    in_parts = F.exists(
+        between_quotes(part),
+        lambda p: F.when(F.ascii(p).isin(outside), p.rlike(_VAST_PART)).otherwise(F.lit(False)),
+    )
+    may = (
+        F.when(F.octet_length(part) > LONG_TEXT, in_parts)
+        .when(F.octet_length(part) > _VAST_DIGITS, F.lit(True))
+        .otherwise(part.rlike(_LARGE_EXPONENT))
+    )
     return F.when(
         may & part.rlike(_MAYBE_VAST),
         F.exists(
             F.regexp_extract_all(part, F.lit(_VALUES), F.lit(0)),
-            lambda token: F.coalesce(F.abs(token.try_cast("double")) == float("inf"), F.lit(False)),
+            # A cast that fails costs far more than a look at the text.
+            lambda token: F.coalesce(
+                F.when(F.ascii(token) != ord('"'), F.abs(token.try_cast("double")) == float("inf")),
+                F.lit(False),
+            ),
         ),
     ).otherwise(F.lit(False))
 

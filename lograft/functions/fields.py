@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lograft.functions.classify import END_KEY, FIELDS_TYPE
+from lograft.functions.classify import END_KEY, FIELDS_TYPE, LONG_TEXT, between_quotes
 from lograft.functions.values import (
     compact_json,
     may_differ,
@@ -113,6 +113,31 @@ def extra_variants(record: Column, members: Column, consumed: Column) -> Column:
 # appearing as a string somewhere in a record.
 _SUSPECT = r"^[{\[]|E-?[0-9]+$|^-?[0-9]{19,}$"
 _QUOTED_SUSPECT = r'"(?:[{\[]|-?[0-9.]+E-?[0-9]+"|-?[0-9]{19,}")|\\u'
+_SUSPECT_PART = r"^(?:-?[0-9.]+E-?[0-9]+|-?[0-9]{19,})\z"
+
+
+def _mistakable(record: Column) -> Column:
+    """Whether a string of the record may be mistaken for a nested value or a number."""
+    opening = [ord(c) for c in "{["]
+    signs = [ord(c) for c in "-.0123456789"]
+
+    def mistaken(parts: Column) -> Column:
+        last = F.size(parts) - 1
+        return F.exists(
+            F.transform(
+                parts,
+                lambda p, at: F.when(at == 0, F.lit(False))
+                .when(F.ascii(p).isin(opening), F.lit(True))
+                .when(F.ascii(p).isin(signs) & (at < last), p.rlike(_SUSPECT_PART))
+                .otherwise(F.lit(False)),
+            ),
+            lambda found: found,
+        )
+
+    in_parts = F.contains(record, F.lit("\\u")) | let(between_quotes(record), mistaken)
+    return F.when(F.octet_length(record) > LONG_TEXT, in_parts).otherwise(
+        record.rlike(_QUOTED_SUSPECT)
+    )
 
 
 def _leaf_text(text: Column) -> Column:
@@ -120,7 +145,7 @@ def _leaf_text(text: Column) -> Column:
     first = F.ascii(text)
     return (
         F.when(first.isin(ord("{"), ord("[")), compact_json(text))
-        .when(text.rlike(_SUSPECT), number_text(text))
+        .when(may_differ(text) & text.rlike(_SUSPECT), number_text(text))
         .otherwise(F.coalesce(text, F.lit("null")))
     )
 
@@ -164,7 +189,6 @@ def extra_texts(members: Column, record: Column, consumed: Column) -> Column:
             ),
             lambda v: typed_text(v["text"], v["typed"]),
         )
-        mistakable = record.rlike(_QUOTED_SUSPECT)
-        return F.when(~suspect, flat).when(~mistakable, by_text).otherwise(by_type)
+        return F.when(~suspect, flat).when(~_mistakable(record), by_text).otherwise(by_type)
 
     return let(unconsumed(members), shown)

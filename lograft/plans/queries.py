@@ -416,7 +416,7 @@ def long_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records so long that the quick parse of typed values refuses them."""
     long = F.pmod("event_id", F.lit(2000)) == 0
     filler = F.repeat(F.lit("a"), F.when(long, 17_000_000).otherwise(10).cast("int"))
-    lines = recipes.pino_lines(spark, sf_dir).select(
+    lines = recipes.spread(recipes.pino_lines(spark, sf_dir)).select(
         "event_id",
         F.regexp_replace("line", r"\}$", "") .alias("head"), filler.alias("filler"),
     ).select(

@@ -20,6 +20,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly over the session's tasks, whatever files they come in. For small rows
+    that much is made of: they are read as one task per file part."""
+    return rows.repartition(partitions(rows.sparkSession))
+
+
 def _concat(*parts: str | Column) -> Column:
     return F.concat(
         *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
