@@ -54,10 +54,12 @@ def number_text(text: Column) -> Column:
     unsigned = whole.between(*(F.lit(n).cast("decimal(38,0)") for n in ("0", "18446744073709551615")))
     integral = ~text.rlike("[.E]")
     as_double = F.when(integral, text.cast("double").cast("string")).otherwise(text)
-    exponent = F.regexp_extract(as_double, _EXPONENT, 4).try_cast("int")
+    # A cast that fails costs far more than a look at the text.
+    found = F.when(F.contains(as_double, F.lit("E")), F.regexp_extract(as_double, _EXPONENT, 4))
+    exponent = F.when(found != "", found).try_cast("int")
     plain = F.regexp_replace(as_double.try_cast("decimal(38,22)").cast("string"), "0+$", "")
     plain = F.when(F.endswith(plain, F.lit(".")), F.concat(plain, F.lit("0"))).otherwise(plain)
-    scientific = F.lower(F.regexp_replace(as_double, r"[.]0E", "E"))
+    scientific = F.translate(F.regexp_replace(as_double, r"[.]0E", "E"), "E", "e")
     in_range = text.try_cast("bigint").isNotNull() | F.coalesce(unsigned, F.lit(False))
     return (
         F.when(integral & in_range, text)

@@ -285,8 +285,8 @@ def extra_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers inside objects and arrays that are shown as JSON."""
-    logs = parse_logs(recipes.nested_number_lines(spark, sf_dir).select("event_id", "line"))
-    return logs.select("event_id", "message", joined(F.col("extra_text")))
+    lines = recipes.spread(recipes.nested_number_lines(spark, sf_dir).select("event_id", "line"))
+    return parse_logs(lines).select("event_id", "message", joined(F.col("extra_text")))
 
 
 # Filters

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lograft import LogOptions, filter_logs, format_lines, parse_logs, reassemble_lines
 from lograft.functions.reassembly import holds_record
 from lograft.functions.timestamps import format_timestamp
+from lograft.functions.values import number_text
 from lograft.operators.filters import jvm_pattern
 from lograft.plans.queries import QUERIES
 
@@ -125,8 +126,19 @@ def test_long_records_are_read_as_short_ones_are(spark):
     assert short == long and {k for k, _, _ in short.values()} == {"json", "raw"}
 
 
-def test_records_made_of_small_rows_are_spread_over_tasks(spark, tmp_path):
+@pytest.mark.parametrize("name", ["long_records", "nested_numbers"])
+def test_records_made_of_small_rows_are_spread_over_tasks(spark, tmp_path, name):
     row = "id AS event_id, timestamp_micros(id) AS ts, id AS user_id, 'view' AS event_type, '{}' AS props"
     events = spark.range(1, 40, 1, 1).selectExpr(*row.split(", "), "1.5D AS value")
     events.write.parquet(f"{tmp_path}/events.parquet")
-    assert QUERIES["long_records"](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
+    assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
+
+
+def test_numbers_of_every_form_are_shown(spark):
+    cases = {
+        "1.0": "1.0", "1.5": "1.5", "-0.0": "-0.0", "1.0E10": "10000000000.0", "1.0E300": "1e300",
+        "1.5E-7": "1.5e-7", "1.0E16": "1e16", "12345678901234567890123": "1.2345678901234568e22",
+        "7": "7", "18446744073709551615": "18446744073709551615", "-9223372036854775808": "-9223372036854775808",
+    }
+    found = spark.createDataFrame([(c,) for c in cases], "t string").select("t", number_text(F.col("t")))
+    assert dict(found.collect()) == cases
