@@ -155,8 +155,17 @@ def settled(
         found.clear()
 
 
+def _lines_of(batch: pd.DataFrame) -> list[Line]:
+    numbers, lines, starts = (batch[c].tolist() for c in ("line_no", "line", "starter"))
+    return [
+        (int(n), None if pd.isna(x) else x, bool(s))
+        for n, x, s in zip(numbers, lines, starts, strict=True)
+    ]
+
+
 class Reassembler(StatefulProcessor):
-    """Per source: the lines of the open buffer, and while a micro-batch is read, chunks of lines."""
+    """Per source: the lines of the open buffer, and chunks of lines while a micro-batch with many
+    of them is read."""
 
     def __init__(self, limit: int, wait_ms: int | None):
         self.limit, self.wait_ms = limit, wait_ms
@@ -169,33 +178,43 @@ class Reassembler(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _hold(self, batch: pd.DataFrame, chunks: list[int]) -> None:
+    def _hold(self, lines: list[Line], chunks: list[int]) -> None:
         """Lines that are not in order yet wait in the state store, a chunk of numbers together."""
-        for chunk, rows in batch.groupby(batch["line_no"] // CHUNK_LINES):
-            key = (int(chunk),)
+        by_chunk: dict[int, list[Line]] = {}
+        for line in lines:
+            by_chunk.setdefault(line[0] // CHUNK_LINES, []).append(line)
+        for chunk, rows in by_chunk.items():
+            key = (chunk,)
             held = [[], [], []]
             if self.arrived.containsKey(key):
                 held = [list(part) for part in self.arrived.getValue(key)]
             else:
-                heapq.heappush(chunks, key[0])
-            held[0] += [int(n) for n in rows["line_no"]]
-            held[1] += [None if pd.isna(x) else x for x in rows["line"]]
-            held[2] += [bool(x) for x in rows["starter"]]
+                heapq.heappush(chunks, chunk)
+            for part, values in zip(held, zip(*rows), strict=True):
+                part.extend(values)
             self.arrived.updateValue(key, tuple(held))
 
     def _in_order(self, batches: Iterator[pd.DataFrame]) -> Iterator[Line]:
-        chunks: list[int] = []
+        """Lines of a source by their numbers; those of a chunk's length never leave the task, as
+        each word with the state store costs more than many lines."""
+        few, chunks = [], []
         for batch in batches:
-            self._hold(batch, chunks)
+            few += _lines_of(batch)
+            if len(few) > CHUNK_LINES:
+                self._hold(few, chunks)
+                few = []
+        if chunks:
+            self._hold(few, chunks)
+            few = []
         while chunks:
             key = (heapq.heappop(chunks),)
             rows = sorted(zip(*self.arrived.getValue(key)), key=lambda row: row[0])
             self.arrived.removeKey(key)
             yield from rows
+        yield from sorted(few, key=lambda row: row[0])
 
     def _advance(self, source: str, arrived: Iterator[Line], final: bool) -> Iterator[pd.DataFrame]:
-        pending = [tuple(row) for row in self.open.get()] if self.open.exists() else []
-        self.open.clear()
+        pending = [tuple(row) for row in self.open.get()]
 
         def lines() -> Iterator[Line]:
             yield from pending
@@ -212,7 +231,10 @@ class Reassembler(StatefulProcessor):
                 out = []
         if still_open:
             self.open.put(still_open)
-        yield pd.DataFrame(out, columns=["source", "line_no", "line", "n_lines"])
+        elif pending:
+            self.open.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["source", "line_no", "line", "n_lines"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         yield from self._advance(key[0], self._in_order(rows), False)

@@ -10,6 +10,7 @@ from lograft.functions.reassembly import walk
 from lograft.sources import shared
 from lograft.streaming import live
 from lograft.streaming.live import (
+    Reassembler,
     follow_files,
     for_each_reassembled,
     live_entries,
@@ -179,3 +180,67 @@ def test_settled_lines_meet_the_walk_however_they_are_cut():
 
         walk([(n, s, f) for n, (_, s, f) in enumerate(lines)], limit, [0], visit)
         assert out == expected
+
+
+class _Store:
+    """State of one source in memory; counts what is asked of it."""
+
+    def __init__(self):
+        self.rows, self.asked = {}, 0
+
+    def _ask(self, value=None):
+        self.asked += 1
+        return value
+
+    def get(self):
+        return iter(self._ask(self.rows.get("open", [])))
+
+    def exists(self):
+        return self._ask("open" in self.rows)
+
+    def put(self, rows):
+        self._ask(self.rows.update(open=rows))
+
+    def clear(self):
+        self._ask(self.rows.pop("open", None))
+
+    def containsKey(self, key):  # noqa: N802
+        return self._ask(key in self.rows)
+
+    def getValue(self, key):  # noqa: N802
+        return self._ask(self.rows[key])
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._ask(self.rows.update({key: value}))
+
+    def removeKey(self, key):  # noqa: N802
+        self._ask(self.rows.pop(key))
+
+
+def _reassembled(micro_batches, batch_lines):
+    made, out, asked = Reassembler(30, None), [], []
+    made.open, made.arrived = _Store(), _Store()
+    for lines in micro_batches:
+        before = made.open.asked + made.arrived.asked
+        frames = [
+            pd.DataFrame(lines[a : a + batch_lines], columns=["line_no", "line", "starter"])
+            for a in range(0, len(lines), batch_lines)
+        ]
+        for found in made.handleInputRows(("s",), iter(frames), None):
+            out += found.itertuples(index=False, name=None)
+        asked.append(made.open.asked + made.arrived.asked - before)
+    assert not made.arrived.rows
+    return out, asked
+
+
+def test_few_lines_of_a_source_are_not_put_into_the_state_store(monkeypatch):
+    texts = ['{"a":"', "x", '"}', "plain", None, '{"b":"', "y"]
+    batches = [
+        [(i, t, bool(t) and t.startswith("{")) for i, t in enumerate(texts)][::-1],
+        [(8, '"}', False), (7, "z", False)], [(9, "end", False)],
+    ]
+    few, asked = _reassembled(batches, 2)
+    assert asked == [2, 2, 1]
+    assert [(n, used) for _, n, _, used in few] == [(0, 3), (3, 1), (5, 4), (9, 1)]
+    monkeypatch.setattr(live, "CHUNK_LINES", 3)
+    assert _reassembled(batches, 2)[0] == few
